@@ -1,7 +1,7 @@
 """Order-dependent selection over keys of any size.
 
 Some operators pick rows one after another, and each pick depends on the one before. All they carry
-forward is the position of the last pick. That makes it possible to split a key into time chunks:
+forward is the position of the last pick. That makes it possible to split a large key into time chunks:
 
 1. every chunk is scanned as if no pick had happened before it;
 2. the picks tell each chunk which pick really came before it;
@@ -9,87 +9,136 @@ forward is the position of the last pick. That makes it possible to split a key
 
 The first chunk of a key is right from the start, so each round settles at least one more chunk per key
 and the outcome is the sequential one. Chains that start differently usually meet after a few picks, so
-few rounds are needed; in the worst case a key takes as many rounds as it has chunks, with the rows of
-one chunk in memory at a time.
+few rounds are needed; in the worst case a key takes as many rounds as it has chunks. Keys of ordinary
+size are a single chunk and need one round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftwatch.functions.timegrid import bucket_number
+from driftwatch.operators.splitting import ROWS_PER_TASK, with_chunks
 from driftwatch.session import ensure_checkpoint_dir
 
-Step = Callable[[pd.DataFrame, int], pd.DataFrame]
+Columns = dict[str, np.ndarray]
+Step = Callable[[Columns, int], Columns]
 
 
-def chunk_copies(rows: DataFrame, chunk_us: int, lookback_us: int) -> DataFrame:
-    """Assign rows to their chunk and, unmarked as `fresh`, to later chunks that look back at them."""
-    own = bucket_number(F.col("ts_us"), chunk_us)
-    last = bucket_number(F.col("ts_us") + F.lit(lookback_us), chunk_us)
-    copies = rows.withColumn("_own", own).withColumn("chunk", F.explode(F.sequence("_own", last)))
-    return copies.withColumn("fresh", F.col("chunk") == F.col("_own")).drop("_own")
+def _pieces(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[tuple[int, int], Columns]]:
+    """Cut batches sorted by (key, chunk) where either changes. A long chunk comes in several pieces."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, chunks = batch[key].to_numpy(), batch["chunk"].to_numpy()
+        changes = np.flatnonzero((np.diff(keys) != 0) | (np.diff(chunks) != 0)) + 1
+        edges = [0, *changes.tolist(), batch.num_rows]
+        columns = {name: batch[name].to_numpy(zero_copy_only=False) for name in batch.schema.names}
+        for begin, end in zip(edges, edges[1:]):
+            part = {name: values[begin:end] for name, values in columns.items()}
+            yield (int(keys[begin]), int(chunks[begin])), part
 
 
-def chunked_scan(rows: DataFrame, key: str, step: Step, picks: str, start: int, order: str) -> DataFrame:
-    """Scan `rows` (with `chunk`) per key and return the picked rows with the columns of `picks`.
+def recent(columns: Columns, lookback_us: int) -> Columns:
+    """The rows later steps may look back at, marked as no longer fresh."""
+    ts = columns["ts_us"]
+    kept = ts >= ts[-1] - lookback_us
+    return {name: values[kept] if name != "fresh" else np.zeros(kept.sum(), bool) for name, values in columns.items()}
 
-    `step(frame, entry)` receives one chunk in the order of `order` and the position of the last pick
-    before it (`start` if none). It returns a frame of the picks: the columns of `picks` (DDL) and
-    `position`, in order. Positions grow along the key.
 
-    This runs jobs while it builds the result, and keeps each round in the checkpoint folder so that a
-    lost executor does not undo settled rounds.
+def appended(before: Columns | None, after: Columns) -> Columns:
+    if before is None:
+        return after
+    return {name: np.concatenate([before[name], after[name]]) for name in after}
+
+
+def chunked_scan(rows: DataFrame, key: str, step: Step, picks: str, start: int, order: str,
+                 lookback_us: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Scan `rows` per key and return the picked rows: key, `position` and the columns of `picks` (DDL).
+
+    `step(columns, entry)` receives arrays of rows in the order of `order` and the position of the last
+    pick before them (`start` if none). It returns arrays of the picks in order: `position` and the
+    columns of `picks`. Positions grow along the key. A step that looks back gets, in front of its rows,
+    those of the last `lookback_us` with `fresh` false.
+
+    Rows are sorted by the shuffle, which may spill, and reach Python in batches; memory holds a batch
+    and the look-back. This runs jobs while it builds the result, and keeps each round in the checkpoint
+    folder so that a lost executor does not undo settled rounds.
     """
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
+    rows, cut = with_chunks(rows, key, rows_per_task, lookback_us)
     fields = T.StructType.fromDDL(picks).fields
-    names = [field.name for field in fields]
+    names = ["position", *[field.name for field in fields]]
     # A chunk without picks reports its assumption in a single row that is not `picked`.
     schema = T.StructType([
-        T.StructField(key, T.LongType()),
-        T.StructField("chunk", T.LongType()),
-        T.StructField("entry", T.LongType()),
+        *[T.StructField(name, T.LongType()) for name in (key, "chunk", "entry")],
         T.StructField("picked", T.BooleanType()),
         T.StructField("position", T.LongType()),
         *fields,
     ])
-    filler = {field.name: "" if isinstance(field.dataType, T.StringType) else 0 for field in fields}
-
-    def scan(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        entry = int(frame["entry"].iloc[0])
-        picked = step(frame.sort_values(order, kind="stable", ignore_index=True), entry)
-        if len(picked):
-            out = picked.assign(picked=True)
-        else:
-            out = pd.DataFrame([{**filler, "position": entry, "picked": False}])
-        out[key], out["chunk"], out["entry"] = group[0], group[1], entry
-        return out[schema.names]
+    arrow = to_arrow_schema(schema)
+    nothing = {field.name: [""] if isinstance(field.dataType, T.StringType) else [0] for field in fields}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = {name: [] for name in arrow.names}
+        group, entry, last, picked, history = None, 0, 0, False, None
+
+        def add(found: dict, size: int, is_pick: bool) -> None:
+            for name in names:
+                columns[name].extend(found[name])
+            for name, value in ((key, group[0]), ("chunk", group[1]), ("entry", entry), ("picked", is_pick)):
+                columns[name].extend([value] * size)
+
+        for piece, values in _pieces(batches, key):
+            if piece != group:
+                if group is not None and not picked:
+                    add({**nothing, "position": [entry]}, 1, False)
+                group, entry, picked, history = piece, int(values["entry"][0]), False, None
+                last = entry
+            seen = appended(history, values)
+            found = step(seen, last)
+            size = len(found["position"])
+            if size:
+                add(found, size, True)
+                picked, last = True, int(found["position"][-1])
+            if lookback_us is not None:
+                history = recent(seen, lookback_us)
+            if len(columns[key]) >= 10_000:
+                yield pa.RecordBatch.from_pydict(columns, schema=arrow)
+                columns = {name: [] for name in arrow.names}
+        if group is not None and not picked:
+            add({**nothing, "position": [entry]}, 1, False)
+        yield pa.RecordBatch.from_pydict(columns, schema=arrow)
 
     def run(assumed: DataFrame) -> DataFrame:
-        return assumed.groupBy(key, "chunk").applyInPandas(scan, schema)
+        ordered = assumed.repartition(key, "chunk").sortWithinPartitions(key, "chunk", order)
+        return ordered.mapInArrow(scan, schema)
+
+    first = F.lit(start).cast("bigint")
+    done = run(rows.withColumn("entry", first))
+    if not cut:
+        return done.where("picked").select(key, *names)
 
     earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    done = run(rows.withColumn("entry", F.lit(start).cast("bigint"))).checkpoint()
+    ensure_checkpoint_dir(rows.sparkSession)
+    done = done.checkpoint()
     while True:
         chunks = done.groupBy(key, "chunk").agg(
             F.max("entry").alias("assumed"), F.max(F.when(F.col("picked"), F.col("position"))).alias("exit")
         )
-        actual = F.coalesce(F.last("exit", ignorenulls=True).over(earlier), F.lit(start).cast("bigint"))
         wrong = (
-            chunks.withColumn("entry", actual)
+            chunks.withColumn("entry", F.coalesce(F.last("exit", ignorenulls=True).over(earlier), first))
             .where(F.col("entry") != F.col("assumed"))
             .select(key, "chunk", "entry")
             .checkpoint()
         )
         if wrong.isEmpty():
-            return done.where("picked").select(key, "position", *names)
+            return done.where("picked").select(key, *names)
         settled = done.join(wrong, [key, "chunk"], "left_anti").select(*schema.names)
         done = settled.unionByName(run(rows.join(wrong, [key, "chunk"]))).checkpoint()
 
@@ -106,9 +155,7 @@ def first_true(flags: Callable[[int, int], np.ndarray], start: int, stop: int) -
     return stop
 
 
-def first_fresh(frame: pd.DataFrame) -> int:
+def first_fresh(columns: Columns) -> int:
     """Index of the first row that belongs to the chunk itself."""
-    fresh = frame["fresh"].to_numpy()
+    fresh = columns["fresh"]
     return int(fresh.argmax()) if fresh.any() else len(fresh)
-
-

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwatch.functions.timegrid import DAY_US, bucket_number
+from driftwatch.operators.splitting import ROWS_PER_TASK, with_chunks
 
 
-def sensor_liveness(readings: DataFrame, gap_us: int, chunk_us: int = DAY_US) -> DataFrame:
+def sensor_liveness(readings: DataFrame, gap_us: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Per sensor: readings kept, readings dropped and the time of the last reading kept.
 
-    Readings after the first gap longer than `gap_us` are dropped for good. Each (sensor, chunk) is
-    reduced to its edges, its size and its first gap; only those rows meet per sensor. Batch only.
+    Readings after the first gap longer than `gap_us` are dropped for good. A sensor with many readings
+    is cut into chunks; each is reduced to its edges, its size and its first gap, and only those rows
+    meet per sensor. Batch only.
     """
-    chunks = readings.select("sensor_id", "ts_us", bucket_number(F.col("ts_us"), chunk_us).alias("chunk"))
+    chunks, _ = with_chunks(readings.select("sensor_id", "ts_us"), "sensor_id", rows_per_task)
     order = Window.partitionBy("sensor_id", "chunk").orderBy("ts_us")
     gap_after = F.lead("ts_us").over(order) - F.col("ts_us") > F.lit(gap_us)
     # The last reading before a gap, and how many readings of the chunk come up to it.
@@ -52,7 +53,7 @@ def sensor_liveness(readings: DataFrame, gap_us: int, chunk_us: int = DAY_US) ->
     )
 
 
-def live_readings(readings: DataFrame, gap_us: int, chunk_us: int = DAY_US) -> DataFrame:
+def live_readings(readings: DataFrame, gap_us: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """The readings a monitor would have accepted."""
-    cuts = sensor_liveness(readings, gap_us, chunk_us).select("sensor_id", "cut_us")
+    cuts = sensor_liveness(readings, gap_us, rows_per_task).select("sensor_id", "cut_us")
     return readings.join(cuts, "sensor_id").where(F.col("ts_us") <= F.col("cut_us")).drop("cut_us")

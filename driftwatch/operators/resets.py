@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,51 +21,61 @@ from driftwatch.functions.rules import (
     first_failure_array,
     mean_count,
 )
-from driftwatch.functions.timegrid import DAY_US, SECOND_US, bucket_number
-from driftwatch.operators.chunkscan import chunk_copies, chunked_scan, first_fresh, first_true
+from driftwatch.functions.timegrid import SECOND_US, bucket_number
+from driftwatch.operators.chunkscan import Columns, chunked_scan, first_fresh, first_true
 from driftwatch.operators.joins import motor_records
 from driftwatch.operators.latest import latest_values
+from driftwatch.operators.splitting import ROWS_PER_TASK
 from driftwatch.schemas import CHANNELS
+from driftwatch.session import ensure_checkpoint_dir
 
 # Throttled averages --------------------------------------------------------------------------------
 
-THROTTLED = "average double, n bigint"
-
-
-def throttle_step(frame: pd.DataFrame, last: int, size_us: int, interval_us: int) -> pd.DataFrame:
+def throttle_step(rows: Columns, last: int, interval_us: int) -> Columns:
     """Report at the first reading at least `interval_us` after the last report.
 
-    A report covers the readings of [t - size, t]. Position is the time in microseconds.
+    Position is the time in microseconds.
     """
-    ts, x = frame["ts_us"].to_numpy(), frame["reading"].to_numpy()
-    at, begin, end = [], [], []
-    i = first_fresh(frame)
+    ts = rows["ts_us"]
+    reports = []
     while True:
-        i = max(i, int(np.searchsorted(ts, last + interval_us, "left")))
+        i = int(np.searchsorted(ts, last + interval_us, "left"))
         if i >= len(ts):
-            break
+            return {"position": reports}
         last = int(ts[i])
-        at.append(last)
-        begin.append(int(np.searchsorted(ts, last - size_us, "left")))
-        i = int(np.searchsorted(ts, last, "right"))
-        end.append(i)
-    return pd.DataFrame({
-        "position": np.array(at, dtype="int64"),
-        "average": [float(x[b:e].mean()) for b, e in zip(begin, end)],
-        "n": np.array(end, dtype="int64") - np.array(begin, dtype="int64"),
-    })
+        reports.append(last)
+
+
+def throttled_means_step(rows: Columns, last: int, size_us: int, interval_us: int) -> Columns:
+    """`throttle_step` with the averages, for rows that come with the last `size_us` in front."""
+    ts, x = rows["ts_us"], rows["reading"]
+    at = np.array(throttle_step(rows, last, interval_us)["position"], dtype="int64")
+    begin, end = np.searchsorted(ts, at - size_us, "left"), np.searchsorted(ts, at, "right")
+    means = [float(x[b:e].mean()) for b, e in zip(begin, end)]
+    return {"position": at, "average": means, "n": end - begin}
 
 
 def throttled_averages(readings: DataFrame, size_us: int, interval_us: int, start_us: int,
-                       chunk_us: int = 10 * DAY_US) -> DataFrame:
+                       rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Sensor averages reported on arrival, at most once per interval: sensor_id, ts_us, average, n.
 
-    A group holds one sensor's readings of a chunk and of the range before it.
+    A report covers the readings of [t - size, t]. Report times come from a scan over the times alone.
+    The averages are a range join, cut into panes of one interval: a report meets the few panes its range
+    touches, and as reports are an interval apart, so does a reading meet only a few reports.
     """
-    rows = chunk_copies(readings.select("sensor_id", "ts_us", "reading"), chunk_us, size_us)
-    step = partial(throttle_step, size_us=size_us, interval_us=interval_us)
-    picks = chunked_scan(rows, "sensor_id", step, THROTTLED, start_us, "ts_us")
-    return picks.select("sensor_id", F.col("position").alias("ts_us"), "average", "n")
+    step = partial(throttle_step, interval_us=interval_us)
+    times = readings.select("sensor_id", "ts_us")
+    reports = chunked_scan(times, "sensor_id", step, "", start_us, "ts_us", rows_per_task=rows_per_task)
+    until = F.col("position")
+    panes = F.sequence(bucket_number(until - F.lit(size_us), interval_us), bucket_number(until, interval_us))
+    ranges = reports.withColumn("pane", F.explode(panes))
+    values = readings.select("sensor_id", bucket_number(F.col("ts_us"), interval_us).alias("pane"), "ts_us", "reading")
+    covered = values.join(ranges, ["sensor_id", "pane"]).where(
+        (F.col("ts_us") <= until) & (F.col("ts_us") >= until - F.lit(size_us))
+    )
+    return covered.groupBy("sensor_id", until.alias("ts_us")).agg(
+        F.avg("reading").alias("average"), F.count("reading").alias("n")
+    )
 
 
 # Latest averages with reset ------------------------------------------------------------------------
@@ -74,14 +83,14 @@ def throttled_averages(readings: DataFrame, size_us: int, interval_us: int, star
 LATEST_ALERT = "alert_us bigint, failure string"
 
 
-def latest_reset_step(frame: pd.DataFrame, last: int) -> pd.DataFrame:
+def latest_reset_step(rows: Columns, last: int) -> Columns:
     """Pick candidates whose four channels have all reported since the last alert.
 
     An alert clears the slots. Until then a slot holds the channel's last average, so the values at a
     candidate are the last known ones, provided the oldest of them (`oldest`) is newer than the alert.
     `oldest` never decreases, so the next alert is found by bisection.
     """
-    positions, oldest = frame["position"].to_numpy(), frame["oldest"].to_numpy()
+    positions, oldest = rows["position"], rows["oldest"]
     picks = []
     while True:
         i = int(np.searchsorted(oldest, last, "right"))
@@ -89,15 +98,42 @@ def latest_reset_step(frame: pd.DataFrame, last: int) -> pd.DataFrame:
             break
         picks.append(i)
         last = int(positions[i])
-    return frame.iloc[picks][["position", "alert_us", "failure"]].reset_index(drop=True)
-
-
-def latest_reset_candidates(averages: DataFrame, rule: ConfidenceRule, chunk_us: int) -> DataFrame:
+    return {name: rows[name][picks] for name in ("position", "alert_us", "failure")}
+
+
+def latest_slots_step(rows: Columns, last: int, rule: ConfidenceRule = ConfidenceRule()) -> Columns:
+    """`latest_reset_step` on plain averages, for rows that come with each channel's last one in front."""
+    count = len(rows["position"])
+    seen = [np.maximum.accumulate(np.where(rows["channel"] == k, np.arange(count), -1)) for k in range(len(CHANNELS))]
+    at = np.flatnonzero((np.min(seen, axis=0) >= 0) & rows["fresh"])
+    slots = [s[at] for s in seen]
+    n = sum(rows["n"][s] for s in slots) // len(CHANNELS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        failure = first_failure_array(rule.conditions(*[rows["average"][s] for s in slots], n, np))
+    fires = np.flatnonzero(failure != "")
+    at = at[fires]
+    candidates = {
+        "position": rows["position"][at],
+        "oldest": rows["position"][np.min([s[fires] for s in slots], axis=0)] if len(at) else at,
+        "alert_us": rows["ts_us"][at],
+        "failure": failure[fires],
+    }
+    return latest_reset_step(candidates, last)
+
+
+def last_per_channel(rows: Columns) -> Columns:
+    """The rows that `latest_slots_step` needs in front of the next ones."""
+    keep = sorted(int(np.flatnonzero(rows["channel"] == k)[-1]) for k in np.unique(rows["channel"]))
+    kept = {name: values[keep] for name, values in rows.items()}
+    return {**kept, "fresh": np.zeros(len(keep), bool)}
+
+
+def latest_reset_candidates(averages: DataFrame, rule: ConfidenceRule, rows_per_task: int) -> DataFrame:
     """Updates at which the last known averages break the rule: position, oldest, alert_us, failure."""
     slots = latest_values(
         averages,
         {"average": F.col("average"), "n": F.col("n"), "pos": position(F.col("ts_us"), F.col("channel"))},
-        chunk_us,
+        rows_per_task,
     )
     counts = [F.col(f"n_{name}") for name in CHANNELS]
     positions = [F.col(f"pos_{name}") for name in CHANNELS]
@@ -117,15 +153,16 @@ def latest_reset_candidates(averages: DataFrame, rule: ConfidenceRule, chunk_us:
 
 
 def alerts_latest_reset(averages: DataFrame, start_us: int, rule: ConfidenceRule = ConfidenceRule(),
-                        chunk_us: int = 10 * DAY_US) -> DataFrame:
+                        rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Confidence alerts on the last average of each channel; an alert forgets all four.
 
     `averages` has motor_id, channel, ts_us, average, n.
     """
-    candidates = latest_reset_candidates(averages, rule, chunk_us).withColumn(
-        "chunk", bucket_number(F.col("ts_us"), chunk_us)
-    ).drop("ts_us")
-    picks = chunked_scan(candidates, "motor_id", latest_reset_step, LATEST_ALERT, start_us << 3, "position")
+    # Both are read more than once and small beside the readings they come from.
+    ensure_checkpoint_dir(averages.sparkSession)
+    candidates = latest_reset_candidates(averages.checkpoint(), rule, rows_per_task).checkpoint()
+    picks = chunked_scan(candidates, "motor_id", latest_reset_step, LATEST_ALERT, start_us << 3, "position",
+                         rows_per_task=rows_per_task)
     return picks.select("motor_id", F.timestamp_micros("alert_us").alias("ts"), "failure")
 
 
@@ -152,14 +189,13 @@ class _RangeMeans:
         return np.where(self.nans[end] > self.nans[begin], np.nan, mean), n
 
 
-def trailing_reset_step(frame: pd.DataFrame, last: int, size_us: int, age_unit_us: int,
-                        rule: ThresholdRule = ThresholdRule()) -> pd.DataFrame:
+def trailing_reset_step(rows: Columns, last: int, size_us: int, age_unit_us: int,
+                        rule: ThresholdRule = ThresholdRule()) -> Columns:
     """Test every reading's trailing range (t - size, t] of all four channels; an alert empties it.
 
     The age that strain grows with is counted from the last alert. Position orders a motor's readings.
     """
-    positions, ts = frame["position"].to_numpy(), frame["ts_us"].to_numpy()
-    channel, x = frame["channel"].to_numpy(), frame["reading"].to_numpy(dtype="float64")
+    positions, ts, channel, x = (rows[name] for name in ("position", "ts_us", "channel", "reading"))
     n = len(ts)
     means = [_RangeMeans(channel == k, x) for k in range(len(CHANNELS))]
     oldest = np.searchsorted(ts, ts - size_us, "right")
@@ -176,7 +212,7 @@ def trailing_reset_step(frame: pd.DataFrame, last: int, size_us: int, age_unit_u
         return np.where(filled, first_failure_array(conditions), "")
 
     picks, names = [], []
-    i = first_fresh(frame)
+    i = first_fresh(rows)
     while i < n:
         cleared, since = int(np.searchsorted(positions, last, "right")), last >> 3
         i = first_true(lambda b, e: failures(b, e, cleared, since) != "", max(i, cleared), n)
@@ -185,21 +221,18 @@ def trailing_reset_step(frame: pd.DataFrame, last: int, size_us: int, age_unit_u
             names.append(str(failures(i, i + 1, cleared, since)[0]))
             last = int(positions[i])
             i += 1
-    return pd.DataFrame({"position": positions[picks].astype("int64"), "failure": names})
+    return {"position": positions[picks], "failure": names}
 
 
 def alerts_trailing_reset(readings: DataFrame, size_us: int, start_us: int, age_unit_us: int = SECOND_US,
-                          rule: ThresholdRule = ThresholdRule(), chunk_us: int = 10 * DAY_US) -> DataFrame:
+                          rule: ThresholdRule = ThresholdRule(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Threshold alerts on trailing ranges, tested at every reading and reset by every alert."""
-    rows = chunk_copies(
-        readings.select(
-            "motor_id", "channel", "ts_us", "reading", position(F.col("ts_us"), F.col("channel")).alias("position")
-        ),
-        chunk_us,
-        size_us,
+    rows = readings.select(
+        "motor_id", "channel", "ts_us", "reading", position(F.col("ts_us"), F.col("channel")).alias("position")
     )
     step = partial(trailing_reset_step, size_us=size_us, age_unit_us=age_unit_us, rule=rule)
-    picks = chunked_scan(rows, "motor_id", step, TRAILING_ALERT, start_us << 3, "position")
+    picks = chunked_scan(rows, "motor_id", step, TRAILING_ALERT, start_us << 3, "position",
+                         lookback_us=size_us, rows_per_task=rows_per_task)
     ts = F.timestamp_micros(F.shiftright("position", 3))
     return picks.select("motor_id", ts.alias("ts"), "failure")
 
@@ -209,14 +242,13 @@ def alerts_trailing_reset(readings: DataFrame, size_us: int, start_us: int, age_
 AGE_ALERT = "window_us bigint, failure string"
 
 
-def age_strain_step(frame: pd.DataFrame, last: int, age_unit_us: int,
-                    rule: ThresholdRule = ThresholdRule()) -> pd.DataFrame:
+def age_strain_step(rows: Columns, last: int, age_unit_us: int, rule: ThresholdRule = ThresholdRule()) -> Columns:
     """Test window records in order; strain is torque times the age since the last alert's window end.
 
     Position is the window end in microseconds.
     """
-    ends, starts = frame["position"].to_numpy(), frame["window_us"].to_numpy()
-    diff, speed, torque = (frame[c].to_numpy() for c in ("temperature_difference", "rotational_speed", "torque"))
+    ends, starts = rows["position"], rows["window_us"]
+    diff, speed, torque = (rows[c] for c in ("temperature_difference", "rotational_speed", "torque"))
     power = torque * rad_per_second(speed)
 
     def failures(begin: int, end: int, since: int) -> np.ndarray:
@@ -233,9 +265,7 @@ def age_strain_step(frame: pd.DataFrame, last: int, age_unit_us: int,
             names.append(str(failures(i, i + 1, last)[0]))
             last = int(ends[i])
             i += 1
-    return pd.DataFrame({
-        "position": ends[picks].astype("int64"), "window_us": starts[picks].astype("int64"), "failure": names
-    })
+    return {"position": ends[picks], "window_us": starts[picks], "failure": names}
 
 
 def age_strain_records(readings: DataFrame, size_us: int) -> DataFrame:
@@ -250,16 +280,15 @@ def age_strain_records(readings: DataFrame, size_us: int) -> DataFrame:
 
 
 def alerts_age_strain(readings: DataFrame, size_us: int, start_us: int, age_unit_us: int = SECOND_US,
-                      rule: ThresholdRule = ThresholdRule(), windows_per_chunk: int = 100_000) -> DataFrame:
+                      rule: ThresholdRule = ThresholdRule(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Threshold alerts on window records, with the age reset by every alert.
 
-    The alert time is the window start. Readings are folded into windows first, so a chunk holds at
-    most `windows_per_chunk` rows however many readings a motor has.
+    The alert time is the window start. Readings are folded into windows first, so a motor has one row
+    per window however many readings it has.
     """
-    records = age_strain_records(readings, size_us).withColumn(
-        "chunk", bucket_number(F.col("window_us"), size_us * windows_per_chunk)
-    )
+    ensure_checkpoint_dir(readings.sparkSession)
+    records = age_strain_records(readings, size_us).withColumn("ts_us", F.col("window_us")).checkpoint()
     step = partial(age_strain_step, age_unit_us=age_unit_us, rule=rule)
-    picks = chunked_scan(records, "motor_id", step, AGE_ALERT, start_us, "position")
+    picks = chunked_scan(records, "motor_id", step, AGE_ALERT, start_us, "position", rows_per_task=rows_per_task)
     return picks.select("motor_id", F.timestamp_micros("window_us").alias("ts"), "failure")
 

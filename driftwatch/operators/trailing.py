@@ -8,8 +8,9 @@ range for every row. Here time is cut into panes of size / k. The range that end
 - the tail: readings at the end of the pane k steps back.
 
 Each reading is also sent k panes ahead as an echo, moved forward by the size, so head and tail are
-running sums inside one (key, pane) partition. A hot sensor is split over its panes, work is linear up
-to the sort, and no running sum is ever subtracted, so a NaN leaves the mean once it leaves the range.
+running sums inside one (key, pane) partition. Ordinary keys use k = 1; keys with many readings per range
+get more panes, so their work spreads out. The work is linear up to the sort, and no running sum is ever
+subtracted, so a NaN leaves the mean once it leaves the range.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.channels import per_channel
-from driftwatch.functions.timegrid import bucket_number
+from driftwatch.operators.splitting import ROWS_PER_TASK, hot_keys
 
 
 def _plus(*parts: Column) -> Column:
@@ -28,33 +29,50 @@ def _plus(*parts: Column) -> Column:
     return total
 
 
+def _pane_widths(rows: DataFrame, key: str, size_us: int, rows_per_task: int) -> DataFrame | None:
+    """Pane width of the keys that need more than one pane: the size halved until a pane is small enough."""
+    hot = hot_keys(rows.select(key, "ts_us"), key, rows_per_task)
+    if hot is None:
+        return None
+    span = F.greatest(F.col("last_us") - F.col("first_us"), F.lit(1))
+    per_range = F.col("rows") * F.least(F.lit(size_us) / span, F.lit(1.0))
+    halvings = F.greatest(F.ceil(F.log2(per_range / F.lit(float(rows_per_task)))), F.lit(0))
+    # Panes must divide the size evenly, which allows as many halvings as the size has factors of two.
+    most = (size_us & -size_us).bit_length() - 1
+    panes = F.pow(F.lit(2.0), F.least(halvings, F.lit(most))).cast("bigint")
+    return hot.select(key, F.call_function("div", F.lit(size_us), panes).alias("_width"))
+
+
 def trailing_means(rows: DataFrame, key: str, values: dict[str, Column], size_us: int, *,
-                   closed: bool, panes: int = 8) -> DataFrame:
+                   closed: bool, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Add `<name>` (mean, null when the range holds none) and `n_<name>` for every entry of `values`.
 
     `closed` keeps readings exactly `size_us` old; otherwise they have left the range. Readings with
     equal time see each other. Batch only: a stream would need keyed state.
     """
-    if size_us % panes:
-        raise ValueError("the range must be a whole number of panes")
-    pane_us = size_us // panes
     original = rows.columns
-    values = {name: value.cast("double") for name, value in values.items()}
-    base = rows.select(
-        "*",
-        bucket_number(F.col("ts_us"), pane_us).alias("_pane"),
-        *[value.alias(f"_v_{name}") for name, value in values.items()],
+    size = F.lit(size_us).cast("bigint")
+    widths = _pane_widths(rows, key, size_us, rows_per_task)
+    if widths is None:
+        sized = rows.withColumn("_width", size)
+    else:
+        sized = rows.join(widths, key, "left").withColumn("_width", F.coalesce("_width", size))
+    pane_start = F.col("ts_us") - F.pmod("ts_us", "_width")
+    base = sized.select(
+        *original,
+        pane_start.alias("_pane"),
+        *[value.cast("double").alias(f"_v_{name}") for name, value in values.items()],
     )
 
     # One scan feeds both copies. The doubled clock leaves odd numbers free for the open lower edge.
     copies = base.withColumn("_echo", F.explode(F.array(F.lit(False), F.lit(True))))
     echo = F.col("_echo")
-    clock = F.when(echo, (F.col("ts_us") + F.lit(size_us)) * 2 - F.lit(0 if closed else 1)).otherwise(F.col("ts_us") * 2)
-    copies = copies.withColumn("_clock", clock).withColumn(
-        "_pane", F.when(echo, F.col("_pane") + F.lit(panes)).otherwise(F.col("_pane"))
-    )
-    upto = Window.partitionBy(key, "_pane").orderBy("_clock").rangeBetween(Window.unboundedPreceding, 0)
-    since = Window.partitionBy(key, "_pane").orderBy(F.desc("_clock")).rangeBetween(Window.unboundedPreceding, 0)
+    echo_clock = (F.col("ts_us") + size) * F.lit(2) - F.lit(0 if closed else 1)
+    copies = copies.withColumn("_clock", F.when(echo, echo_clock).otherwise(F.col("ts_us") * F.lit(2)))
+    copies = copies.withColumn("_pane", F.when(echo, F.col("_pane") + size).otherwise(F.col("_pane")))
+    in_pane = Window.partitionBy(key, "_pane")
+    upto = in_pane.orderBy("_clock").rangeBetween(Window.unboundedPreceding, 0)
+    since = in_pane.orderBy(F.desc("_clock")).rangeBetween(Window.unboundedPreceding, 0)
     running = []
     for name in values:
         value = F.col(f"_v_{name}")
@@ -66,37 +84,38 @@ def trailing_means(rows: DataFrame, key: str, values: dict[str, Column], size_us
             F.count(echoed).over(since).alias(f"_tn_{name}"),
         ]
     ended = copies.select("*", *running).where(~echo)
+    parts = "ht"
 
-    if panes > 1:
+    if widths is not None:
         totals = []
         for name in values:
             totals += [F.sum(f"_v_{name}").alias(f"_s_{name}"), F.count(f"_v_{name}").alias(f"_n_{name}")]
-        before = Window.partitionBy(key).orderBy("_pane").rangeBetween(-(panes - 1), -1)
+        # Full panes start after the range begins and before the own pane, whatever the key's width.
+        between = Window.partitionBy(key).orderBy("_pane").rangeBetween(1 - size_us, -1)
         middle = base.groupBy(key, "_pane").agg(*totals).select(
             key,
             "_pane",
-            *[F.sum(f"_s_{name}").over(before).alias(f"_ms_{name}") for name in values],
-            *[F.sum(f"_n_{name}").over(before).alias(f"_mn_{name}") for name in values],
+            *[F.sum(f"_s_{name}").over(between).alias(f"_ms_{name}") for name in values],
+            *[F.sum(f"_n_{name}").over(between).alias(f"_mn_{name}") for name in values],
         )
         ended = ended.join(middle, [key, "_pane"])
+        parts = "htm"
 
     results = []
     for name in values:
-        sums = [F.col(f"_hs_{name}"), F.col(f"_ts_{name}")]
-        counts = [F.col(f"_hn_{name}"), F.col(f"_tn_{name}")]
-        if panes > 1:
-            sums.append(F.col(f"_ms_{name}"))
-            counts.append(F.col(f"_mn_{name}"))
-        n = _plus(*counts)
-        results += [(_plus(*sums) / F.nullif(n, F.lit(0))).alias(name), n.alias(f"n_{name}")]
+        n = _plus(*[F.col(f"_{part}n_{name}") for part in parts])
+        total = _plus(*[F.col(f"_{part}s_{name}") for part in parts])
+        results += [(total / F.nullif(n, F.lit(0))).alias(name), n.alias(f"n_{name}")]
     return ended.select(*original, *results)
 
 
-def sensor_trailing_means(readings: DataFrame, size_us: int, panes: int = 8) -> DataFrame:
+def sensor_trailing_means(readings: DataFrame, size_us: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Per reading, the mean of its sensor over [t - size, t]."""
-    return trailing_means(readings, "sensor_id", {"average": F.col("reading")}, size_us, closed=True, panes=panes)
+    return trailing_means(readings, "sensor_id", {"average": F.col("reading")}, size_us,
+                          closed=True, rows_per_task=rows_per_task)
 
 
-def motor_trailing_means(readings: DataFrame, size_us: int, panes: int = 8) -> DataFrame:
+def motor_trailing_means(readings: DataFrame, size_us: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Per reading, the channel means of its motor over (t - size, t]; an empty channel is null."""
-    return trailing_means(readings, "motor_id", per_channel(F.col("reading")), size_us, closed=False, panes=panes)
+    return trailing_means(readings, "motor_id", per_channel(F.col("reading")), size_us,
+                          closed=False, rows_per_task=rows_per_task)

@@ -333,8 +333,8 @@ SELECT metric, motor_groups, window_ms, model, round(q1 - 1.5::double * (q3 - q1
     "alert_counts": f"""WITH {RUNS}
 SELECT motor_groups, window_ms, model, count(*)::bigint AS n FROM run_view GROUP BY ALL""",
     "paired_ttest": f"""WITH {T_TESTS}
-SELECT metric, motor_groups, window_ms, direction, n, round(mean_diff, 6) AS mean_diff, round(sd_diff, 6) AS sd_diff,
-       round(t, 6) AS t, round(p, 6) AS p FROM tested""",
+SELECT metric, motor_groups, window_ms, direction, n, (round(mean_diff, 12) + 0.0::double)::float AS mean_diff,
+       round(sd_diff, 12)::float AS sd_diff, (round(t, 12) + 0.0::double)::float AS t, round(p, 6) AS p FROM tested""",
     "model_verdict": f"""WITH {T_TESTS},
 wide AS (
   SELECT metric, motor_groups, window_ms, max(n) AS n, max(p) FILTER (WHERE direction = 'candidate_greater') AS c,
