@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.student_t import upper_tail
 from driftwatch.operators.ranking import numbered
+from driftwatch.operators.splitting import ROWS_PER_TASK
 from driftwatch.schemas import BASELINE_MODEL, CANDIDATE_MODEL
 
 CONFIG = ["motor_groups", "window_ms"]
@@ -31,10 +32,11 @@ def long_metrics(runs: DataFrame, ids: list[str], metrics: list[str] = METRICS)
     return runs.unpivot(ids, metrics, "metric", "value")
 
 
-def number_runs(runs: DataFrame, keys: list[str], order: str = "event_id") -> DataFrame:
+def number_runs(runs: DataFrame, keys: list[str], order: str = "event_id",
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Number the runs of each configuration and model in the order of their identifier."""
     block = F.call_function("div", F.col(order), F.lit(RUNS_PER_BLOCK).cast("bigint"))
-    return numbered(runs, keys, order, block, "run_no")
+    return numbered(runs, keys, order, block, "run_no", rows_per_task)
 
 
 def alert_counts(samples: DataFrame, keys: list[str]) -> DataFrame:

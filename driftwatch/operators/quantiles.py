@@ -1,8 +1,9 @@
 """Exact quantiles per group, for groups of any size.
 
-The built-in exact percentile collects a group's distinct values in one task. Here the wanted ranks are
-found by narrowing value ranges: a histogram per group names the few bins that hold a wanted rank, only
-their values go on to a finer histogram, and only the values of the last bins are ranked.
+The built-in exact percentile keeps a group's distinct values in one task, which suits ordinary groups.
+For large ones the wanted ranks are found by narrowing value ranges: a histogram per group names the few
+bins that hold a wanted rank, only their values go on to a finer histogram, and only the values of the
+last bins are ranked.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwatch.operators.splitting import ROWS_PER_TASK, large_groups
+from driftwatch.session import ensure_checkpoint_dir
+
 BINS = 1024
 
 
@@ -20,59 +24,75 @@ def _bin(value: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.least(place, F.lit(BINS - 1).cast("bigint")), F.lit(0).cast("bigint"))
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float],
-                    levels: int = 2) -> DataFrame:
-    """One row per group: the keys, `n`, and `q`, an array of linearly interpolated quantiles.
+def narrowed_quantiles(rows: DataFrame, groups: DataFrame, keys: list[str], probabilities: list[float],
+                       levels: int) -> DataFrame:
+    """Quantiles of `_x` for the listed groups, which carry `rows`, `low` and `high`.
 
-    Null values are ignored. `levels` histograms divide the value range by 1024 each.
+    `levels` histograms divide the value range by 1024 each. What survives a level is kept in the
+    checkpoint folder: the values of at most two bins per probability.
     """
-    distinct = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    groups = distinct.groupBy(*keys).agg(
-        F.sum("_c").alias("n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")
-    )
-    points = [(F.col("n") - F.lit(1)) * F.lit(float(p)) for p in probabilities]
+    ensure_checkpoint_dir(rows.sparkSession)
+    points = [(F.col("rows") - F.lit(1)) * F.lit(float(p)) for p in probabilities]
     ranks = F.array(*[edge(point).cast("bigint") for point in points for edge in (F.floor, F.ceil)])
-    groups = groups.withColumn("_ranks", ranks)
-
-    # Values still in play, with the range they are cut from and the rows that sort before it.
-    open_bins = groups.select(*keys, F.lit(0).cast("bigint").alias("_id"), "_low", "_high", "_ranks",
-                              F.lit(0).cast("bigint").alias("_offset"))
-    current = distinct.withColumn("_id", F.lit(0).cast("bigint"))
+    ranges = groups.select(*keys, ranks.alias("_ranks"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+
+    # Equal values are folded first. `_id` names a bin; `_offset` counts the group's rows below it.
+    zero = F.lit(0).cast("bigint")
+    current = (
+        rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+        .join(ranges, keys)
+        .withColumns({"_id": zero, "_offset": zero})
+    )
     for _ in range(levels):
-        binned = current.join(open_bins, [*keys, "_id"]).withColumn("_bin", _bin(F.col("_x"), F.col("_low"), F.col("_high")))
+        number = F.col("_id") * F.lit(BINS) + _bin(F.col("_x"), F.col("_low"), F.col("_high"))
+        binned = current.withColumn("_bin", number)
         sized = binned.groupBy(*keys, "_id", "_bin").agg(
             F.sum("_c").alias("_rows"),
-            F.min("_x").alias("_low"),
-            F.max("_x").alias("_high"),
-            F.first("_offset").alias("_base"),
-            F.first("_ranks").alias("_ranks"),
+            F.min("_x").alias("_bin_low"),
+            F.max("_x").alias("_bin_high"),
+            F.max("_offset").alias("_base"),
+            F.max("_ranks").alias("_wanted"),
         )
         before = Window.partitionBy(*keys, "_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        placed = sized.withColumn("_offset", F.col("_base") + F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        wanted = F.exists("_ranks", lambda r: (r >= F.col("_offset")) & (r < F.col("_offset") + F.col("_rows")))
-        open_bins = placed.where(wanted).select(
-            *keys, (F.col("_id") * F.lit(BINS) + F.col("_bin")).alias("_id"), "_low", "_high", "_ranks", "_offset"
-        )
-        current = binned.select(*keys, "_x", "_c", (F.col("_id") * F.lit(BINS) + F.col("_bin")).alias("_id"))
+        placed = sized.withColumn("_start", F.col("_base") + F.coalesce(F.sum("_rows").over(before), zero))
+        wanted = F.exists("_wanted", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_rows")))
+        kept = placed.where(wanted).select(*keys, "_bin", "_bin_low", "_bin_high", "_start")
+        current = binned.join(kept, [*keys, "_bin"]).select(
+            *keys, "_x", "_c", "_ranks", F.col("_bin").alias("_id"), F.col("_start").alias("_offset"),
+            F.col("_bin_low").alias("_low"), F.col("_bin_high").alias("_high"),
+        ).checkpoint()
 
     upto = Window.partitionBy(*keys, "_id").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        current.join(open_bins, [*keys, "_id"])
-        .withColumn("_end", F.col("_offset") + F.sum("_c").over(upto))
-        .select(*keys, "_x", (F.col("_end") - F.col("_c")).alias("_first"), "_end", F.posexplode("_ranks").alias("_slot", "_rank"))
-        .where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
-    )
+    ranked = current.withColumn("_end", F.col("_offset") + F.sum("_c").over(upto)).select(
+        *keys, "_x", "_c", "_end", F.posexplode("_ranks").alias("_slot", "_rank")
+    ).where((F.col("_rank") >= F.col("_end") - F.col("_c")) & (F.col("_rank") < F.col("_end")))
     slots = range(2 * len(probabilities))
     found = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_slot") == s, F.col("_x"))).alias(f"_x{s}") for s in slots])
     quantiles = []
     for i, point in enumerate(points):
         lower, upper = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}")
         quantiles.append(lower + (upper - lower) * (point - F.floor(point)))
-    return found.join(groups.select(*keys, "n"), keys).select(*keys, "n", F.array(*quantiles).alias("q"))
+    return found.join(groups, keys).select(*keys, F.col("rows").alias("n"), F.array(*quantiles).alias("q"))
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float],
+                    levels: int = 2, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """One row per group: the keys, `n`, and `q`, an array of linearly interpolated quantiles.
+
+    Null values are ignored.
+    """
+    values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    large = large_groups(values, keys, rows_per_task, low=F.min("_x"), high=F.max("_x"))
+
+    def builtin(part: DataFrame) -> DataFrame:
+        return part.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.percentile("_x", [float(p) for p in probabilities]).alias("q")
+        )
+
+    if large is None:
+        return builtin(values)
+    small = builtin(values.join(large, keys, "left_anti"))
+    return small.unionByName(narrowed_quantiles(values, large, keys, probabilities, levels))
 
 
 SUMMARY = ("lower_fence", "lower_quartile", "median", "upper_quartile", "upper_fence")

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwatch.operators.splitting import ROWS_PER_TASK, large_groups
 
-def numbered(rows: DataFrame, keys: list[str], order: str, block: Column, name: str) -> DataFrame:
+
+def numbered(rows: DataFrame, keys: list[str], order: str, block: Column, name: str,
+             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """`row_number` per `keys` in the order of the unique column `order`.
 
-    `block` must not decrease with `order`. Rows are numbered inside their block and shifted by the
-    rows of the blocks before it, so a group is never sorted in one task. Choose blocks that hold a
-    bounded number of rows, such as ranges of an identifier.
+    `block` must not decrease with `order`. When some group is large, rows are numbered inside their
+    block and shifted by the rows of the blocks before it, so no group is sorted in one task. Choose
+    blocks that hold a bounded number of rows, such as ranges of an identifier.
     """
+    if large_groups(rows, keys, rows_per_task) is None:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint"))
     blocked = rows.withColumn("_block", block)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows")).select(
@@ -22,6 +27,5 @@ def numbered(rows: DataFrame, keys: list[str], order: str, block: Column, name:
     return (
         blocked.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_block", "_inside", "_offset")
+        .select(*rows.columns, (F.col("_offset") + F.col("_inside")).alias(name))
     )

@@ -12,27 +12,29 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
 
-# Hot keys brought to the driver and broadcast; a row is three numbers.
+# Large keys brought to the driver and broadcast; a row is the key and a few numbers.
 MAX_BROADCAST_KEYS = 100_000
 
 
-def hot_keys(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
-    """Keys with more than `rows_per_task` rows: key, `rows`, `first_us`, `last_us`; None if there are none.
+def large_groups(rows: DataFrame, keys: list[str], rows_per_task: int, **measures: Column) -> DataFrame | None:
+    """Groups with more than `rows_per_task` rows: keys, `rows` and `measures`; None if there are none.
 
-    This runs one job. Up to `MAX_BROADCAST_KEYS` keys come back as a broadcast table; beyond that the
+    This runs one job. Up to `MAX_BROADCAST_KEYS` groups come back as a broadcast table; beyond that the
     aggregation itself is returned, and the planner chooses how to join it.
     """
-    stats = (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
-        .where(F.col("rows") > rows_per_task)
-    )
-    found = stats.limit(MAX_BROADCAST_KEYS + 1).collect()
+    aggregates = [F.count(F.lit(1)).alias("rows"), *[measure.alias(name) for name, measure in measures.items()]]
+    large = rows.groupBy(*keys).agg(*aggregates).where(F.col("rows") > rows_per_task)
+    found = large.limit(MAX_BROADCAST_KEYS + 1).collect()
     if not found:
         return None
     if len(found) > MAX_BROADCAST_KEYS:
-        return stats
-    return F.broadcast(rows.sparkSession.createDataFrame(found, stats.schema))
+        return large
+    return F.broadcast(rows.sparkSession.createDataFrame(found, large.schema))
+
+
+def hot_keys(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """Large keys with their time span: key, `rows`, `first_us`, `last_us`."""
+    return large_groups(rows, [key], rows_per_task, first_us=F.min("ts_us"), last_us=F.max("ts_us"))
 
 
 def with_chunks(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK,
