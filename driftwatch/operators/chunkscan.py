@@ -10,7 +10,7 @@ forward is the position of the last pick. That makes it possible to split a larg
 The first chunk of a key is right from the start, so each round settles at least one more chunk per key
 and the outcome is the sequential one. Chains that start differently usually meet after a few picks, so
 few rounds are needed; in the worst case a key takes as many rounds as it has chunks. Keys of ordinary
-size are a single chunk and need one round.
+size are a single chunk, need one round and take no part in the others.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftwatch.operators.splitting import ROWS_PER_TASK, with_chunks
+from driftwatch.operators.splitting import ROWS_PER_TASK, cut_rows, hot_keys, whole_rows
 from driftwatch.session import ensure_checkpoint_dir
 
 Columns = dict[str, np.ndarray]
@@ -68,10 +68,10 @@ def chunked_scan(rows: DataFrame, key: str, step: Step, picks: str, start: int,
     those of the last `lookback_us` with `fresh` false.
 
     Rows are sorted by the shuffle, which may spill, and reach Python in batches; memory holds a batch
-    and the look-back. This runs jobs while it builds the result, and keeps each round in the checkpoint
-    folder so that a lost executor does not undo settled rounds.
+    and the look-back. For large keys this runs jobs while it builds the result, and keeps their rows and
+    each round in the checkpoint folder, so that a lost executor does not undo settled rounds.
     """
-    rows, cut = with_chunks(rows, key, rows_per_task, lookback_us)
+    hot = hot_keys(rows, key, rows_per_task)
     fields = T.StructType.fromDDL(picks).fields
     names = ["position", *[field.name for field in fields]]
     # A chunk without picks reports its assumption in a single row that is not `picked`.
@@ -120,13 +120,16 @@ def chunked_scan(rows: DataFrame, key: str, step: Step, picks: str, start: int,
         return ordered.mapInArrow(scan, schema)
 
     first = F.lit(start).cast("bigint")
-    done = run(rows.withColumn("entry", first))
-    if not cut:
-        return done.where("picked").select(key, *names)
+    result = [key, *names]
+    small = rows if hot is None else rows.join(hot, key, "left_anti")
+    settled_at_once = run(whole_rows(small, lookback_us).withColumn("entry", first)).where("picked").select(*result)
+    if hot is None:
+        return settled_at_once
 
-    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ensure_checkpoint_dir(rows.sparkSession)
-    done = done.checkpoint()
+    chunked = cut_rows(rows, key, hot, rows_per_task, lookback_us).checkpoint()
+    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    done = run(chunked.withColumn("entry", first)).checkpoint()
     while True:
         chunks = done.groupBy(key, "chunk").agg(
             F.max("entry").alias("assumed"), F.max(F.when(F.col("picked"), F.col("position"))).alias("exit")
@@ -138,9 +141,9 @@ def chunked_scan(rows: DataFrame, key: str, step: Step, picks: str, start: int,
             .checkpoint()
         )
         if wrong.isEmpty():
-            return done.where("picked").select(key, *names)
+            return settled_at_once.unionByName(done.where("picked").select(*result))
         settled = done.join(wrong, [key, "chunk"], "left_anti").select(*schema.names)
-        done = settled.unionByName(run(rows.join(wrong, [key, "chunk"]))).checkpoint()
+        done = settled.unionByName(run(chunked.join(wrong, [key, "chunk"]))).checkpoint()
 
 
 def first_true(flags: Callable[[int, int], np.ndarray], start: int, stop: int) -> int:

@@ -37,31 +37,41 @@ def hot_keys(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> D
     return large_groups(rows, [key], rows_per_task, first_us=F.min("ts_us"), last_us=F.max("ts_us"))
 
 
-def with_chunks(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK,
-                lookback_us: int | None = None) -> tuple[DataFrame, bool]:
-    """Add `chunk`, a number that grows with time inside a key, and say whether any key was cut.
+def whole_rows(rows: DataFrame, lookback_us: int | None = None) -> DataFrame:
+    """Rows whose key is a single chunk."""
+    whole = rows.withColumn("chunk", F.lit(0).cast("bigint"))
+    return whole if lookback_us is None else whole.withColumn("fresh", F.lit(True))
 
-    Small keys are one chunk. With `lookback_us`, rows are also copied to later chunks that look back
-    at them; `fresh` tells a row in its own chunk from a copy. Chunks are never shorter than the look-back,
-    so a row has at most one copy.
+
+def cut_rows(rows: DataFrame, key: str, hot: DataFrame, rows_per_task: int, lookback_us: int | None = None,
+             how: str = "inner") -> DataFrame:
+    """Add `chunk`, a number that grows with time inside a key of `hot`.
+
+    With how="left", rows of other keys stay, in chunk 0. With `lookback_us`, rows are also copied to the
+    later chunk that looks back at them; `fresh` tells a row in its own chunk from a copy. Chunks are
+    never shorter than the look-back, so a row has at most one copy.
     """
-    hot = hot_keys(rows, key, rows_per_task)
-    zero = F.lit(0).cast("bigint")
-    if hot is None:
-        whole = rows.withColumn("chunk", zero)
-        return (whole if lookback_us is None else whole.withColumn("fresh", F.lit(True))), False
     # The span divided by the number of chunks wanted, in whole microseconds.
     span = F.col("last_us") - F.col("first_us") + F.lit(1)
     parts = F.ceil(F.col("rows") / F.lit(float(rows_per_task)))
     width = F.greatest(F.ceil(span / parts), F.lit(max(lookback_us or 0, 1)).cast("bigint"))
-    cuts = hot.select(key, F.col("first_us").alias("_origin"), "last_us", width.alias("_width"))
+    cuts = hot.select(key, F.col("first_us").alias("_origin"), F.col("last_us").alias("_last"), width.alias("_width"))
 
     def chunk_at(micros: Column) -> Column:
-        return F.coalesce(F.call_function("div", micros - F.col("_origin"), F.col("_width")), zero)
+        number = F.call_function("div", micros - F.col("_origin"), F.col("_width"))
+        return F.coalesce(number, F.lit(0).cast("bigint"))
 
-    placed = rows.join(cuts, key, "left").withColumn("_own", chunk_at(F.col("ts_us")))
+    placed = rows.join(cuts, key, how).withColumn("chunk", chunk_at(F.col("ts_us")))
     if lookback_us is None:
-        return placed.withColumnRenamed("_own", "chunk").drop("_origin", "_width", "last_us"), True
-    seen_until = chunk_at(F.least(F.col("ts_us") + F.lit(lookback_us), F.col("last_us")))
-    copies = placed.withColumn("chunk", F.explode(F.sequence("_own", seen_until)))
-    return copies.withColumn("fresh", F.col("chunk") == F.col("_own")).drop("_own", "_origin", "_width", "last_us"), True
+        return placed.drop("_origin", "_last", "_width")
+    seen_until = chunk_at(F.least(F.col("ts_us") + F.lit(lookback_us), F.col("_last")))
+    copies = placed.withColumn("_own", F.col("chunk")).withColumn("chunk", F.explode(F.sequence("_own", seen_until)))
+    return copies.withColumn("fresh", F.col("chunk") == F.col("_own")).drop("_own", "_origin", "_last", "_width")
+
+
+def with_chunks(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, bool]:
+    """Add `chunk` to all rows and say whether any key was cut."""
+    hot = hot_keys(rows, key, rows_per_task)
+    if hot is None:
+        return whole_rows(rows), False
+    return cut_rows(rows, key, hot, rows_per_task, how="left"), True

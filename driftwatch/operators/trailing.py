@@ -51,31 +51,28 @@ def trailing_means(rows: DataFrame, key: str, values: dict[str, Column], size_us
     equal time see each other. Batch only: a stream would need keyed state.
     """
     original = rows.columns
+    values = {name: value.cast("double") for name, value in values.items()}
     size = F.lit(size_us).cast("bigint")
     widths = _pane_widths(rows, key, size_us, rows_per_task)
     if widths is None:
         sized = rows.withColumn("_width", size)
     else:
         sized = rows.join(widths, key, "left").withColumn("_width", F.coalesce("_width", size))
-    pane_start = F.col("ts_us") - F.pmod("ts_us", "_width")
-    base = sized.select(
-        *original,
-        pane_start.alias("_pane"),
-        *[value.cast("double").alias(f"_v_{name}") for name, value in values.items()],
-    )
+    base = sized.withColumn("_pane", F.col("ts_us") - F.pmod("ts_us", "_width")).drop("_width")
 
     # One scan feeds both copies. The doubled clock leaves odd numbers free for the open lower edge.
-    copies = base.withColumn("_echo", F.explode(F.array(F.lit(False), F.lit(True))))
+    # The shuffle carries plain rows; everything else is derived behind it.
     echo = F.col("_echo")
+    copies = base.withColumn("_echo", F.explode(F.array(F.lit(False), F.lit(True))))
+    copies = copies.withColumn("_pane", F.when(echo, F.col("_pane") + size).otherwise(F.col("_pane")))
+    copies = copies.repartition(key, "_pane")
     echo_clock = (F.col("ts_us") + size) * F.lit(2) - F.lit(0 if closed else 1)
     copies = copies.withColumn("_clock", F.when(echo, echo_clock).otherwise(F.col("ts_us") * F.lit(2)))
-    copies = copies.withColumn("_pane", F.when(echo, F.col("_pane") + size).otherwise(F.col("_pane")))
     in_pane = Window.partitionBy(key, "_pane")
     upto = in_pane.orderBy("_clock").rangeBetween(Window.unboundedPreceding, 0)
     since = in_pane.orderBy(F.desc("_clock")).rangeBetween(Window.unboundedPreceding, 0)
     running = []
-    for name in values:
-        value = F.col(f"_v_{name}")
+    for name, value in values.items():
         own, echoed = F.when(~echo, value), F.when(echo, value)
         running += [
             F.sum(own).over(upto).alias(f"_hs_{name}"),
@@ -88,8 +85,8 @@ def trailing_means(rows: DataFrame, key: str, values: dict[str, Column], size_us
 
     if widths is not None:
         totals = []
-        for name in values:
-            totals += [F.sum(f"_v_{name}").alias(f"_s_{name}"), F.count(f"_v_{name}").alias(f"_n_{name}")]
+        for name, value in values.items():
+            totals += [F.sum(value).alias(f"_s_{name}"), F.count(value).alias(f"_n_{name}")]
         # Full panes start after the range begins and before the own pane, whatever the key's width.
         between = Window.partitionBy(key).orderBy("_pane").rangeBetween(1 - size_us, -1)
         middle = base.groupBy(key, "_pane").agg(*totals).select(

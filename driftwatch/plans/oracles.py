@@ -240,9 +240,28 @@ FROM diff LEFT JOIN load USING (motor_id, window_start)""")
 
 _SWEEP_DAYS = (1, 2, 4, 8)
 
+# A stream's last word is its watermark: the latest reading, in whole milliseconds.
+SEEN = "(SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)"
+
+ALERTS_CI = f"""WITH {READINGS}, {_motors()}, {CI_ALERTS}
+SELECT motor_id, window_start, max_us / 1e6 AS time, failure FROM alerts WHERE failure IS NOT NULL"""
+
+SLIDING = f"""WITH {READINGS},
+spread AS (
+  SELECT *, unnest([ts_us // 86400000000 * 86400, (ts_us // 86400000000 - 1) * 86400]) AS window_start FROM reading_view
+)
+SELECT sensor_id, window_start, round(avg(reading), 6) AS average, count(*)::bigint AS n, max(ts_us) / 1e6 AS max_time
+FROM spread GROUP BY sensor_id, window_start"""
+
+THROTTLED_ROWS = f"WITH {THROTTLED} SELECT sensor_id, at_us / 1e6 AS time, round(average, 6) AS average, n FROM report"
+
+
+def _closed(sql: str, size: int) -> str:
+    return f"SELECT * FROM ({sql}) WHERE (window_start + {size})::bigint * 1000000 <= {SEEN}"
+
+
 ORACLES: dict[str, str] = {
-    "motor_alerts_ci": f"""WITH {READINGS}, {_motors()}, {CI_ALERTS}
-SELECT motor_id, window_start, max_us / 1e6 AS time, failure FROM alerts WHERE failure IS NOT NULL""",
+    "motor_alerts_ci": ALERTS_CI,
     "motor_alerts_threshold": f"""WITH {READINGS}, {_motors()},
 alerts AS (
   SELECT *, {_threshold('air - process', 'speed', 'torque', '(window_start + 86400 - 1704067200) / 8640.0::double')} AS failure
@@ -258,12 +277,7 @@ SELECT motor_id, window_start, mean_n FROM complete_motors""",
 SELECT sensor_id, epoch(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01'))::bigint AS window_start,
        round(avg(reading), 6) AS average, count(*)::bigint AS n, max(ts_us) / 1e6 AS max_time
 FROM reading_view GROUP BY ALL""",
-    "sensor_sliding_avg": f"""WITH {READINGS},
-spread AS (
-  SELECT *, unnest([ts_us // 86400000000 * 86400, (ts_us // 86400000000 - 1) * 86400]) AS window_start FROM reading_view
-)
-SELECT sensor_id, window_start, round(avg(reading), 6) AS average, count(*)::bigint AS n, max(ts_us) / 1e6 AS max_time
-FROM spread GROUP BY sensor_id, window_start""",
+    "sensor_sliding_avg": SLIDING,
     "sensor_tumbling_avg": f"""WITH {READINGS}
 SELECT sensor_id, epoch(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'))::bigint AS window_start,
        round(avg(reading), 6) AS average
@@ -354,8 +368,11 @@ FROM segments GROUP BY sensor_id""",
     "alert_delay": f"""WITH {READINGS}, {_motors()}, {CI_ALERTS}
 SELECT motor_id, window_start, round(((window_start + 86400)::bigint * 1000000 - max_us) / 1e6, 6) AS delay
 FROM alerts WHERE failure IS NOT NULL""",
-    "throttled_avg": f"WITH {THROTTLED} SELECT sensor_id, at_us / 1e6 AS time, round(average, 6) AS average, n FROM report",
+    "throttled_avg": THROTTLED_ROWS,
     "alerts_latest_reset": LATEST_RESET,
     "alerts_trailing_reset": TRAILING_RESET,
     "alerts_age_strain": AGE_STRAIN,
+    "stream_motor_alerts_ci": _closed(ALERTS_CI, 86400),
+    "stream_sensor_sliding_avg": _closed(SLIDING, 172800),
+    "stream_motor_join_chain": _closed(MOTOR_CHAIN, 86400),
 }

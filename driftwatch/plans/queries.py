@@ -7,6 +7,7 @@ output only; rules see the full values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.channels import channel_of, motor_of, rad_per_second, sensor_of
 from driftwatch.functions.timegrid import DAY_US, HOUR_US, SECOND_US, epoch_seconds
-from driftwatch.operators import comparison, joins, latest, liveness, quantiles, resets, trailing, windows
+from driftwatch.operators import comparison, joins, latest, liveness, quantiles, resets, trailing, validation, windows
 from driftwatch.schemas import CHANNELS
-from driftwatch.sources.readings import events, fan_in, fixture_readings, readings_from_events
+from driftwatch.session import ROCKSDB, ensure_checkpoint_dir
+from driftwatch.sources.readings import events, events_stream, fan_in, fixture_readings, readings_from_events
 from driftwatch.sources.runs import name_parameters, numbered_runs_from_events, runs_from_events
+from driftwatch.streaming import windows as streaming
 
 START_US = 1_704_067_200 * SECOND_US  # 2024-01-01 00:00 UTC
 AGE_UNIT_US = 8640 * SECOND_US
@@ -162,10 +165,7 @@ ALLOWED_TYPES = ("click", "view")
 
 
 def enum_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.col("event_type").isin(*ALLOWED_TYPES)
-    return events(spark, sf_dir).groupBy("event_type").agg(
-        F.count_if(known).alias("n_ok"), F.count_if(~known).alias("n_rejected")
-    )
+    return validation.count_by_name(events(spark, sf_dir), "event_type", ALLOWED_TYPES)
 
 
 def readings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +264,40 @@ def alerts_age_strain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.select("motor_id", _time(), "failure")
 
 
+def _drained(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over the data present and read back what it wrote.
+
+    Results stay in the folder shared by the executors, next to the stream's own checkpoint.
+    """
+    spark = stream.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def _reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return readings_from_events(events_stream(spark, sf_dir))
+
+
+def stream_motor_alerts_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of the windows the watermark has closed."""
+    alerts = streaming.confidence_alerts(_reading_stream(spark, sf_dir), DAY_US)
+    return _drained(alerts.select("motor_id", _window_start(), _time(), "failure"), "alerts")
+
+
+def stream_sensor_sliding_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    averages = streaming.sensor_averages(_reading_stream(spark, sf_dir), 2 * DAY_US, DAY_US)
+    columns = ["sensor_id", _window_start(), *_rounded("average"), "n", _time("max_ts").alias("max_time")]
+    return _drained(averages.select(*columns), "sliding")
+
+
+def stream_motor_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = streaming.motor_records_joined(_reading_stream(spark, sf_dir), DAY_US)
+    return _drained(records.select(*_record_columns()), "records")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -301,5 +335,8 @@ QUERIES: dict[str, Query] = {
         alerts_latest_reset,
         alerts_trailing_reset,
         alerts_age_strain,
+        stream_motor_alerts_ci,
+        stream_sensor_sliding_avg,
+        stream_motor_join_chain,
     )
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from driftwatch.operators.quantiles import SUMMARY
 from driftwatch.sources.runs import PARAMETERS
@@ -20,3 +21,11 @@ def write_summary(summary: DataFrame, folder: str) -> None:
     columns = [*keys, "x_inner", *SUMMARY]
     ordered = summary.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "x_inner")
     ordered.write.mode("append").partitionBy(*keys).option("header", True).csv(folder)
+
+
+def append_delay_series(alerts: DataFrame, folder: str) -> None:
+    """Append the delays of alerts in the form `delay_series_files` reads, one number per line.
+
+    A line may hold any number of delays; one each keeps long series from meeting in one task.
+    """
+    alerts.select(F.concat(F.col("delay").cast("string"), F.lit(",")).alias("value")).write.mode("append").text(folder)

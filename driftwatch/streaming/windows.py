@@ -43,6 +43,11 @@ def motor_records(readings: DataFrame, size_us: int, lateness_us: int = 0) -> Da
     return joins.motor_records(watermarked(readings, lateness_us), size_us)
 
 
+def motor_records_joined(readings: DataFrame, size_us: int, lateness_us: int = 0) -> DataFrame:
+    """The same rows from three stream-stream left joins over four windowed streams."""
+    return joins.motor_records_joined(watermarked(readings, lateness_us), size_us)
+
+
 def deduplicated(records: DataFrame, lateness_us: int = 0) -> DataFrame:
     """One record per motor and time. Drops every repeat within the watermark, neighbouring or not."""
     return watermarked(records, lateness_us).dropDuplicatesWithinWatermark(["motor_id", "ts"])

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.timegrid import SECOND_US
 from driftwatch.operators import comparison, quantiles, windows
+from driftwatch.operators.validation import split_by_name
 from driftwatch.plans.queries import START_US
+from driftwatch.schemas import FAILURES
 from driftwatch.sinks.alerts import append_alert_log
-from driftwatch.sinks.runs import append_runs, write_summary
+from driftwatch.sinks.runs import append_delay_series, append_runs, write_summary
 from driftwatch.sources.readings import (
     events,
     fixture_readings,
@@ -112,6 +114,20 @@ def test_append_runs(spark, run_folder, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "results")).count() == 16
 
 
+def test_delay_lines(spark, tmp_path):
+    delays = spark.createDataFrame([(0.25,), (1.5,)], "delay double")
+    append_delay_series(delays, str(tmp_path / "delays"))
+    lines = spark.read.text(str(tmp_path / "delays")).collect()
+    assert sorted(r.value for r in lines) == ["0.25,", "1.5,"]
+
+
+def test_unknown_names_are_rejected(spark):
+    df = spark.createDataFrame([("PowerFailure",), ("Nonsense",), (None,)], "failure string")
+    accepted, rejected = split_by_name(df, "failure", FAILURES)
+    assert [r.failure for r in accepted.collect()] == ["PowerFailure"]
+    assert {r.failure for r in rejected.collect()} == {"Nonsense", None}
+
+
 def test_malformed_names(spark):
     df = spark.createDataFrame([("x_2_oops_7.csv",), ("1_60_8_8_1_400_Unknown_ru.csv",)], "n string")
     rows = df.select(*[c.alias(k) for k, c in name_parameters(F.col("n")).items()]).collect()

@@ -85,6 +85,7 @@ def test_motor_records(stream, batch, tmp_path):
     expected = rows(_open(joins.motor_records_joined(batch, DAY_US)))
     assert expected == rows(_open(joins.motor_records(batch, DAY_US)))
     assert drained(_open(streaming.motor_records(stream, DAY_US)), "records", tmp_path) == expected
+    assert drained(_open(streaming.motor_records_joined(stream, DAY_US)), "records_joined", tmp_path) == expected
 
 
 def test_dedup(stream, batch, tmp_path):
