@@ -55,27 +55,39 @@ def throttled_means_step(rows: Columns, last: int, size_us: int, interval_us: in
     return {"position": at, "average": means, "n": end - begin}
 
 
+def range_averages(readings: DataFrame, reports: DataFrame, size_us: int, pane_us: int) -> DataFrame:
+    """Mean and count of the sensor's readings in [position - size, position] for every report.
+
+    Time is cut into panes. Panes inside a range enter as totals; single readings are compared only with
+    the ranges that begin or end in their pane, which are few when reports are at least a pane apart.
+    """
+    until = F.col("position")
+    since = until - F.lit(size_us)
+    first, last = bucket_number(since, pane_us), bucket_number(until, pane_us)
+    values = readings.select("sensor_id", bucket_number(F.col("ts_us"), pane_us).alias("pane"), "ts_us", "reading")
+
+    edges = reports.withColumn("pane", F.explode(F.array_distinct(F.array(first, last))))
+    at_edges = values.join(edges, ["sensor_id", "pane"]).where((F.col("ts_us") <= until) & (F.col("ts_us") >= since))
+    totals = values.groupBy("sensor_id", "pane").agg(F.sum("reading").alias("total"), F.count("reading").alias("n"))
+    inner = reports.where(last - first > 1).withColumn("pane", F.explode(F.sequence(first + F.lit(1), last - F.lit(1))))
+    parts = at_edges.select("sensor_id", "position", F.col("reading").alias("total"), F.lit(1).cast("bigint").alias("n"))
+    parts = parts.unionByName(totals.join(inner, ["sensor_id", "pane"]).select("sensor_id", "position", "total", "n"))
+    return parts.groupBy("sensor_id", "position").agg(
+        (F.sum("total") / F.sum("n")).alias("average"), F.sum("n").alias("n")
+    )
+
+
 def throttled_averages(readings: DataFrame, size_us: int, interval_us: int, start_us: int,
                        rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Sensor averages reported on arrival, at most once per interval: sensor_id, ts_us, average, n.
 
     A report covers the readings of [t - size, t]. Report times come from a scan over the times alone.
-    The averages are a range join, cut into panes of one interval: a report meets the few panes its range
-    touches, and as reports are an interval apart, so does a reading meet only a few reports.
     """
     step = partial(throttle_step, interval_us=interval_us)
     times = readings.select("sensor_id", "ts_us")
     reports = chunked_scan(times, "sensor_id", step, "", start_us, "ts_us", rows_per_task=rows_per_task)
-    until = F.col("position")
-    panes = F.sequence(bucket_number(until - F.lit(size_us), interval_us), bucket_number(until, interval_us))
-    ranges = reports.withColumn("pane", F.explode(panes))
-    values = readings.select("sensor_id", bucket_number(F.col("ts_us"), interval_us).alias("pane"), "ts_us", "reading")
-    covered = values.join(ranges, ["sensor_id", "pane"]).where(
-        (F.col("ts_us") <= until) & (F.col("ts_us") >= until - F.lit(size_us))
-    )
-    return covered.groupBy("sensor_id", until.alias("ts_us")).agg(
-        F.avg("reading").alias("average"), F.count("reading").alias("n")
-    )
+    averages = range_averages(readings, reports, size_us, interval_us)
+    return averages.withColumnRenamed("position", "ts_us")
 
 
 # Latest averages with reset ------------------------------------------------------------------------

@@ -170,6 +170,20 @@ def test_alerts_age_strain(readings):
     )
 
 
+def test_scan_keeps_chunks_together(spark, readings):
+    """Adaptive planning must not spread a chunk over tasks, neither by local reads nor by reusing a join's layout."""
+    expected = resets.alerts_trailing_reset(readings, SIZE, START, SECOND_US)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = resets.alerts_trailing_reset(readings.repartition(8), SIZE, START, SECOND_US, rows_per_task=LIMIT)
+        same(spread, expected)
+        # Already laid out by the scan's own keys.
+        laid_out = readings.join(readings.select("motor_id").distinct(), "motor_id")
+        same(resets.alerts_trailing_reset(laid_out, SIZE, START, SECOND_US), expected)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_small_batches(spark, readings):
     """A key that spans many Arrow batches gives the same picks."""
     expected = resets.alerts_trailing_reset(readings, SIZE, START, SECOND_US).collect()
