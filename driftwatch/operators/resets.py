@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.channels import all_present, position, rad_per_second
@@ -58,8 +58,9 @@ def throttled_means_step(rows: Columns, last: int, size_us: int, interval_us: in
 def range_averages(readings: DataFrame, reports: DataFrame, size_us: int, pane_us: int) -> DataFrame:
     """Mean and count of the sensor's readings in [position - size, position] for every report.
 
-    Time is cut into panes. Panes inside a range enter as totals; single readings are compared only with
-    the ranges that begin or end in their pane, which are few when reports are at least a pane apart.
+    Time is cut into panes. Single readings are compared only with the ranges that begin or end in their
+    pane, which are few when reports are at least a pane apart. The panes between enter as rolling totals,
+    of one of two lengths, depending on where in its pane a range begins.
     """
     until = F.col("position")
     since = until - F.lit(size_us)
@@ -67,11 +68,27 @@ def range_averages(readings: DataFrame, reports: DataFrame, size_us: int, pane_u
     values = readings.select("sensor_id", bucket_number(F.col("ts_us"), pane_us).alias("pane"), "ts_us", "reading")
 
     edges = reports.withColumn("pane", F.explode(F.array_distinct(F.array(first, last))))
-    at_edges = values.join(edges, ["sensor_id", "pane"]).where((F.col("ts_us") <= until) & (F.col("ts_us") >= since))
-    totals = values.groupBy("sensor_id", "pane").agg(F.sum("reading").alias("total"), F.count("reading").alias("n"))
-    inner = reports.where(last - first > 1).withColumn("pane", F.explode(F.sequence(first + F.lit(1), last - F.lit(1))))
-    parts = at_edges.select("sensor_id", "position", F.col("reading").alias("total"), F.lit(1).cast("bigint").alias("n"))
-    parts = parts.unionByName(totals.join(inner, ["sensor_id", "pane"]).select("sensor_id", "position", "total", "n"))
+    parts = (
+        values.join(edges, ["sensor_id", "pane"])
+        .where((F.col("ts_us") <= until) & (F.col("ts_us") >= since))
+        .select("sensor_id", "position", F.col("reading").alias("total"), F.lit(1).cast("bigint").alias("n"))
+    )
+    most = size_us // pane_us
+    if most:
+        lengths = [length for length in (most - 1, most) if length]
+        rolling = []
+        for length in lengths:
+            before = Window.partitionBy("sensor_id").orderBy("pane").rangeBetween(-length, -1)
+            rolling += [F.sum("total").over(before).alias(f"total_{length}"), F.sum("n").over(before).alias(f"n_{length}")]
+        totals = values.groupBy("sensor_id", "pane").agg(F.sum("reading").alias("total"), F.count("reading").alias("n"))
+        between = last - first - F.lit(1)
+
+        def chosen(name: str) -> Column:
+            return F.coalesce(*[F.when(between == length, F.col(f"{name}_{length}")) for length in lengths])
+
+        ended = reports.withColumn("pane", last).join(totals.select("sensor_id", "pane", *rolling), ["sensor_id", "pane"])
+        inner = ended.select("sensor_id", "position", chosen("total").alias("total"), chosen("n").alias("n"))
+        parts = parts.unionByName(inner.where(F.col("n") > 0))
     return parts.groupBy("sensor_id", "position").agg(
         (F.sum("total") / F.sum("n")).alias("average"), F.sum("n").alias("n")
     )
@@ -86,7 +103,9 @@ def throttled_averages(readings: DataFrame, size_us: int, interval_us: int, star
     step = partial(throttle_step, interval_us=interval_us)
     times = readings.select("sensor_id", "ts_us")
     reports = chunked_scan(times, "sensor_id", step, "", start_us, "ts_us", rows_per_task=rows_per_task)
-    averages = range_averages(readings, reports, size_us, interval_us)
+    # Read by several branches below, and few beside the readings.
+    ensure_checkpoint_dir(readings.sparkSession)
+    averages = range_averages(readings, reports.checkpoint(), size_us, interval_us)
     return averages.withColumnRenamed("position", "ts_us")
 
 

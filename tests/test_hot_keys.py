@@ -123,6 +123,24 @@ def test_throttled_averages(readings):
     )
 
 
+@pytest.mark.parametrize("size", [5, 20, 50, 64, 100])
+def test_throttled_ranges(readings, rows, size):
+    """Ranges shorter and longer than the interval, whole multiples of it or not."""
+    size *= SECOND_US
+    finite = readings.where(~F.isnan("reading"))
+    rows = [r for r in rows if r[3] == r[3]]
+    reports = resets.throttled_averages(finite, size, INTERVAL, START, LIMIT).collect()
+    last = {}
+    for r in sorted(reports, key=lambda r: (r.sensor_id, r.ts_us)):
+        due = last.get(r.sensor_id, START) + INTERVAL
+        assert r.ts_us == min(t for _, s, t, _ in rows if s == r.sensor_id and t >= due)
+        last[r.sensor_id] = r.ts_us
+        x = [v for _, s, t, v in rows if s == r.sensor_id and r.ts_us - size <= t <= r.ts_us]
+        assert (r.n, r.average) == (len(x), pytest.approx(np.mean(x)))
+    for sensor in {r[1] for r in rows}:
+        assert not [t for _, s, t, _ in rows if s == sensor and t >= last.get(sensor, START) + INTERVAL]
+
+
 def test_alerts_latest_reset(readings):
     averages = resets.throttled_averages(readings, SIZE, INTERVAL, START).select(
         F.shiftright("sensor_id", 2).alias("motor_id"),
