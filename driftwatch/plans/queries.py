@@ -17,7 +17,7 @@ from driftwatch.functions.channels import channel_of, motor_of, rad_per_second,
 from driftwatch.functions.timegrid import DAY_US, HOUR_US, SECOND_US, epoch_seconds
 from driftwatch.operators import comparison, joins, latest, liveness, quantiles, resets, trailing, validation, windows
 from driftwatch.schemas import CHANNELS
-from driftwatch.session import ROCKSDB, ensure_checkpoint_dir
+from driftwatch.session import ensure_checkpoint_dir, use_durable_state
 from driftwatch.sources.readings import events, events_stream, fan_in, fixture_readings, readings_from_events
 from driftwatch.sources.runs import name_parameters, numbered_runs_from_events, runs_from_events
 from driftwatch.streaming import windows as streaming
@@ -277,7 +277,7 @@ def _drained(stream: DataFrame, name: str) -> DataFrame:
 
 
 def _reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    use_durable_state(spark)
     return readings_from_events(events_stream(spark, sf_dir))
 
 

@@ -6,22 +6,32 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keyed state outside the JVM heap, with changes written per batch instead of whole snapshots.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, name: str = "driftwatch") -> SparkSession:
     """A single-machine session for tests and the benchmark. Clusters bring their own session."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    return builder.config(map=STATE_SETTINGS).getOrCreate()
+
+
+def use_durable_state(spark: SparkSession) -> None:
+    """Settings the stateful streams need, for sessions made elsewhere."""
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
 
 
 def pin_utc(spark: SparkSession) -> None:
