@@ -264,12 +264,11 @@ def alerts_age_strain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.select("motor_id", _time(), "failure")
 
 
-def _drained(stream: DataFrame, name: str) -> DataFrame:
+def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over the data present and read back what it wrote.
 
     Results stay in the folder shared by the executors, next to the stream's own checkpoint.
     """
-    spark = stream.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
     writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
@@ -277,25 +276,31 @@ def _drained(stream: DataFrame, name: str) -> DataFrame:
 
 
 def _reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use_durable_state(spark)
-    return readings_from_events(events_stream(spark, sf_dir))
+    """Readings as a stream, in a session of its own so that its settings stay with it.
+
+    A stream keeps its number of state partitions for life; one per core suits the whole cluster.
+    """
+    session = spark.newSession()
+    use_durable_state(session)
+    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return readings_from_events(events_stream(session, sf_dir))
 
 
 def stream_motor_alerts_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of the windows the watermark has closed."""
     alerts = streaming.confidence_alerts(_reading_stream(spark, sf_dir), DAY_US)
-    return _drained(alerts.select("motor_id", _window_start(), _time(), "failure"), "alerts")
+    return _drained(spark, alerts.select("motor_id", _window_start(), _time(), "failure"), "alerts")
 
 
 def stream_sensor_sliding_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     averages = streaming.sensor_averages(_reading_stream(spark, sf_dir), 2 * DAY_US, DAY_US)
     columns = ["sensor_id", _window_start(), *_rounded("average"), "n", _time("max_ts").alias("max_time")]
-    return _drained(averages.select(*columns), "sliding")
+    return _drained(spark, averages.select(*columns), "sliding")
 
 
 def stream_motor_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = streaming.motor_records_joined(_reading_stream(spark, sf_dir), DAY_US)
-    return _drained(records.select(*_record_columns()), "records")
+    return _drained(spark, records.select(*_record_columns()), "records")
 
 
 QUERIES: dict[str, Query] = {
