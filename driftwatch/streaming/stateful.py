@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from driftwatch.functions.channels import all_present, position
+from driftwatch.functions.channels import all_present, channel_of, motor_of, position
 from driftwatch.functions.rules import ConfidenceRule, ThresholdRule
 from driftwatch.functions.timegrid import SECOND_US
 from driftwatch.operators import resets
@@ -31,7 +31,8 @@ class OrderedScan(StatefulProcessor):
     """Runs a step over each key's rows in time order."""
 
     def __init__(self, step: Step, fields: T.StructType, order: str, start: int, key: str, outputs: list[str],
-                 keep: Callable[[Columns], Columns] | None):
+                 keep: Callable[[Columns], Columns] | None, event_time: bool = False):
+        self.event_time = event_time
         self.step, self.fields, self.order, self.start = step, fields, order, start
         self.key, self.outputs, self.keep = key, outputs, keep
 
@@ -79,7 +80,10 @@ class OrderedScan(StatefulProcessor):
         found = self.step(seen, last)
         if len(found["position"]):
             self.last.update((int(found["position"][-1]),))
-            yield pd.DataFrame({self.key: key[0], **{name: list(found[name]) for name in self.outputs}})
+            picks = pd.DataFrame({self.key: key[0], **{name: list(found[name]) for name in self.outputs}})
+            if self.event_time:
+                picks["ts"] = pd.to_datetime(picks["position"], unit="us")
+            yield picks
         if self.keep:
             kept = self._rows(self.keep(seen))
             if kept:
@@ -87,27 +91,36 @@ class OrderedScan(StatefulProcessor):
 
 
 def _scan(rows: DataFrame, key: str, columns: list[str], step: Step, order: str, start: int, picks: str,
-          keep: Callable[[Columns], Columns] | None = None) -> DataFrame:
+          keep: Callable[[Columns], Columns] | None = None, event_time: bool = False) -> DataFrame:
+    """With `event_time`, picks carry `ts` (from a position in microseconds) for a stateful operator above."""
     fields = T.StructType([rows.schema[name] for name in columns])
-    schema = T.StructType([T.StructField(key, T.LongType()), *T.StructType.fromDDL(picks).fields])
-    processor = OrderedScan(step, fields, order, start, key, schema.fieldNames()[1:], keep)
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    outputs = T.StructType([T.StructField(key, T.LongType()), *T.StructType.fromDDL(picks).fields])
+    names = outputs.fieldNames()[1:]
+    processor = OrderedScan(step, fields, order, start, key, names, keep, event_time)
+    grouped = rows.groupBy(key)
+    if not event_time:
+        return grouped.transformWithStateInPandas(processor, outputs, "append", "EventTime")
+    timed = T.StructType([*outputs.fields, T.StructField("ts", T.TimestampType())])
+    return grouped.transformWithStateInPandas(processor, timed, "append", "EventTime", eventTimeColumnName="ts")
+
+
+def _throttled(readings: DataFrame, size_us: int, interval_us: int, start_us: int, lateness_us: int,
+               event_time: bool) -> DataFrame:
+    rows = watermarked(readings, lateness_us).select("sensor_id", "ts", "ts_us", "reading")
+    step = partial(resets.throttled_means_step, size_us=size_us, interval_us=interval_us)
+    return _scan(rows, "sensor_id", ["ts_us", "reading"], step, "ts_us", start_us,
+                 "position bigint, average double, n bigint", partial(recent, lookback_us=size_us), event_time)
 
 
 def throttled_averages(readings: DataFrame, size_us: int, interval_us: int, start_us: int,
                        lateness_us: int = 0) -> DataFrame:
     """sensor_id, ts_us, average, n; equal to the batch operator once the watermark has passed."""
-    rows = watermarked(readings, lateness_us).select("sensor_id", "ts", "ts_us", "reading")
-    step = partial(resets.throttled_means_step, size_us=size_us, interval_us=interval_us)
-    picks = _scan(rows, "sensor_id", ["ts_us", "reading"], step, "ts_us", start_us,
-                  "position bigint, average double, n bigint", partial(recent, lookback_us=size_us))
+    picks = _throttled(readings, size_us, interval_us, start_us, lateness_us, event_time=False)
     return picks.withColumnRenamed("position", "ts_us")
 
 
-def alerts_latest_reset(averages: DataFrame, start_us: int, lateness_us: int = 0,
-                        rule: ConfidenceRule = ConfidenceRule()) -> DataFrame:
-    """Alerts on the last average of each channel, from a stream of motor_id, channel, ts, ts_us, average, n."""
-    rows = watermarked(averages, lateness_us).select(
+def _latest_reset(averages: DataFrame, start_us: int, rule: ConfidenceRule) -> DataFrame:
+    rows = averages.select(
         "motor_id", "channel", "ts", "ts_us", "average", "n",
         position(F.col("ts_us"), F.col("channel")).alias("position"),
     )
@@ -117,6 +130,26 @@ def alerts_latest_reset(averages: DataFrame, start_us: int, lateness_us: int = 0
     return picks.select("motor_id", F.timestamp_micros("alert_us").alias("ts"), "failure")
 
 
+def alerts_latest_reset(averages: DataFrame, start_us: int, lateness_us: int = 0,
+                        rule: ConfidenceRule = ConfidenceRule()) -> DataFrame:
+    """Alerts on the last average of each channel, from a stream of motor_id, channel, ts, ts_us, average, n."""
+    return _latest_reset(watermarked(averages, lateness_us), start_us, rule)
+
+
+def alerts_from_readings(readings: DataFrame, size_us: int, interval_us: int, start_us: int, lateness_us: int = 0,
+                         rule: ConfidenceRule = ConfidenceRule()) -> DataFrame:
+    """Throttled averages per sensor feeding alerts on the last averages per motor, in one query."""
+    averages = _throttled(readings, size_us, interval_us, start_us, lateness_us, event_time=True)
+    return _latest_reset(
+        averages.select(
+            motor_of(F.col("sensor_id")).alias("motor_id"), channel_of(F.col("sensor_id")).alias("channel"),
+            "ts", F.col("position").alias("ts_us"), "average", "n",
+        ),
+        start_us,
+        rule,
+    )
+
+
 def alerts_trailing_reset(readings: DataFrame, size_us: int, start_us: int, age_unit_us: int = SECOND_US,
                           lateness_us: int = 0, rule: ThresholdRule = ThresholdRule()) -> DataFrame:
     """Alerts on trailing ranges; the state of a motor is the readings of one range."""

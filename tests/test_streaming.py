@@ -141,6 +141,16 @@ def test_alerts_latest_reset(spark, batch, tmp_path):
     assert drained(stateful.alerts_latest_reset(stream, START_US, lateness_us=60 * DAY_US), "latest", tmp_path) == expected
 
 
+def test_alerts_from_readings(spark, stream, batch, tmp_path):
+    averages = resets.throttled_averages(batch, 2 * DAY_US, DAY_US, START_US).select(
+        F.shiftright("sensor_id", 2).alias("motor_id"), F.col("sensor_id").bitwiseAND(F.lit(3)).alias("channel"),
+        "ts_us", "average", "n",
+    )
+    expected = rows(resets.alerts_latest_reset(averages, START_US))
+    actual = stateful.alerts_from_readings(stream, 2 * DAY_US, DAY_US, START_US)
+    assert drained(actual, "chained", tmp_path) == expected
+
+
 def test_alert_sinks(spark, stream, batch, tmp_path):
     expected = {(r.motor_id, r.failure) for r in windows.confidence_alerts(windows.motor_windows(batch, DAY_US)).collect()}
     alerts = streaming.confidence_alerts(stream, DAY_US)
