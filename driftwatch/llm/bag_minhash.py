@@ -91,7 +91,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         has = np.nonzero(weight > low)[0]
         if not len(has):
             break
-        seed = _mixed(shingle[has] + GOLDEN * np.uint64(piece + 1))
+        seed = _mixed(shingle[has] + np.uint64(int(GOLDEN) * (piece + 1) % 2 ** 64))
         length = max(low, 1)
         parts.append((doc[has], seed, np.full(len(has), float(length)), np.full(len(has), float(low)), weight[has]))
         piece += 1
