@@ -6,12 +6,14 @@ import pytest
 from compare import difference
 
 import __spark_entry__ as entry_point
+from driftwatch.plans import oracles, queries
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLES = queries.QUERIES, oracles.ORACLES
 
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
