@@ -33,7 +33,8 @@ def _collisions(docs: DataFrame, text_col: str) -> DataFrame:
     """(length, prefix hash) of more than one text: the first two refinements, on a few bytes per document."""
     sized = saved(_sized(docs, text_col).select("_len", "_head"), "lengths")
     lengths = sized.groupBy("_len").count().where("count > 1").select("_len")
-    heads = sized.join(lengths, "_len", "left_semi").groupBy("_len", "_head").count().where("count > 1")
+    # Prefixes are counted ahead of the join, so that many texts of one length meet as one row for each prefix.
+    heads = sized.groupBy("_len", "_head").count().join(lengths, "_len", "left_semi").where("count > 1")
     return saved(heads.select("_len", "_head", F.lit(True).alias("_open")), "prefixes")
 
 
