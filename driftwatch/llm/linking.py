@@ -60,20 +60,25 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Dat
     members: saved rows (bucket, id) of buckets with several ids. verify: keeps the pairs (a, b) that are links.
 
     A round compares a few pivots of each bucket with its members of other classes and joins classes. Pivots
-    come from outside a bucket's largest class, and each serves once, against the whole bucket. The rounds end
+    come from outside a bucket's largest class, those with the most candidates in all their buckets first: the text that
+    many copies were made from meets most of them and joins them at once. Each serves once, against the whole bucket. The rounds end
     when no bucket has such a member left that has not served. Then for any two members of different
     classes one has served, so every candidate pair that could still join classes was verified; pairs within
     one class need no look, and a group of thousands of copies takes one comparison each.
     """
     spark = members.sparkSession
-    labelled = members.withColumn("root", F.col("id")).withColumn("served", F.lit(False))
+    crowds = members.groupBy("bucket").agg(F.count("*").alias("crowd"))
+    degrees = members.join(crowds, "bucket").groupBy("id").agg(F.sum("crowd").alias("degree"))
+    labelled = saved(members.join(degrees, "id").select(
+        "bucket", "id", "degree", F.col("id").alias("root"), F.lit(False).alias("served")), "labelled")
     links = None
     for turn in range(1 << 10):
-        sizes = labelled.groupBy("bucket", "root").count()
-        tops = sizes.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("n"))
+        sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.max("degree").alias("degree"))
+        tops = sizes.groupBy("bucket").agg(
+            F.max(F.struct("count", (-F.col("degree")).alias("apart"), "root")).alias("top"), F.count("*").alias("n"))
         mixed = tops.where("n > 1").select("bucket", F.col("top.root").alias("top"))
         live = labelled.join(mixed, "bucket")
-        order = Window.partitionBy("bucket").orderBy("id")
+        order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "id")
         width = PIVOTS[min(turn, len(PIVOTS) - 1)]
         pivots = (live.where(~F.col("served") & (F.col("root") != F.col("top")))
                   .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
@@ -89,7 +94,7 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Dat
         served = pivots.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("now"))
         labelled = saved(
             live.drop("root", "top").join(roots, "id", "left").join(served, ["bucket", "id"], "left")
-            .select("bucket", "id", F.coalesce("root", "id").alias("root"),
+            .select("bucket", "id", "degree", F.coalesce("root", "id").alias("root"),
                     (F.col("served") | F.coalesce("now", F.lit(False))).alias("served")), "labelled")
     if links is None:
         return spark.createDataFrame([], members.select("id", F.col("id").alias("root")).schema)
