@@ -71,7 +71,7 @@ def motor_records(readings: DataFrame, size_us: int) -> DataFrame:
 MOTOR_RECORDS_SQL = """
 WITH average AS (
   SELECT motor_id, channel, window(ts, '{size}') AS window, avg(reading) AS mean
-  FROM {view} GROUP BY motor_id, channel, window(ts, '{size}')
+  FROM {{readings}} GROUP BY motor_id, channel, window(ts, '{size}')
 ),
 temperature AS (
   SELECT a.motor_id, a.window, a.mean - p.mean AS temperature_difference
@@ -90,8 +90,7 @@ FROM temperature d LEFT JOIN load l ON d.motor_id = l.motor_id AND d.window = l.
 """
 
 
-def motor_records_sql(readings: DataFrame, size_us: int, view: str = "readings") -> DataFrame:
-    """`motor_records_joined` written as one SQL statement over a temporary view."""
-    readings.createOrReplaceTempView(view)
-    text = MOTOR_RECORDS_SQL.format(view=view, size=f"{size_us} microseconds")
-    return readings.sparkSession.sql(text)
+def motor_records_sql(readings: DataFrame, size_us: int) -> DataFrame:
+    """`motor_records_joined` written as one SQL statement. No view of the caller's session is touched."""
+    text = MOTOR_RECORDS_SQL.format(size=f"{size_us} microseconds")
+    return readings.sparkSession.sql(text, readings=readings)

@@ -10,9 +10,9 @@ from driftwatch.sources.runs import PARAMETERS
 
 
 def append_runs(runs: DataFrame, folder: str) -> None:
-    """Append run rows below one folder per parameter set and model."""
+    """Append run rows below one folder per parameter set and model; many runs of one set are shared by several tasks."""
     keys = [*PARAMETERS, "model"]
-    runs.repartition(*keys).write.mode("append").partitionBy(*keys).option("header", True).csv(folder)
+    runs.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).option("header", True).csv(folder)
 
 
 def write_summary(summary: DataFrame, folder: str) -> None:

@@ -29,12 +29,26 @@ def _decoded(df: DataFrame, *extra: str) -> DataFrame:
 
 
 def parse_json_readings(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Readings from a string column holding one JSON object each, as a message queue delivers them."""
-    fields = F.from_json(F.col(column).cast("string"), schemas.READING_JSON)
-    parsed = lines.select(fields.alias("r")).select(
-        "r.sensor_id", F.try_to_timestamp("r.ts").alias("ts"), "r.reading"
-    )
-    return _decoded(parsed.where(F.col("sensor_id").isNotNull() & F.col("ts").isNotNull()))
+    """Readings from a string column holding one JSON object each, as a message queue delivers them.
+
+    Lines without sensor, time or reading are left out; `rejected_json_readings` returns them.
+    """
+    return _decoded(_json_fields(lines, column).where(_complete()).drop("line"))
+
+
+def rejected_json_readings(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines (line) that are no readings: not JSON, or without sensor, time or reading."""
+    return _json_fields(lines, column).where(~_complete()).select("line")
+
+
+def _json_fields(lines: DataFrame, column: str) -> DataFrame:
+    line = F.col(column).cast("string")
+    parsed = lines.select(line.alias("line"), F.from_json(line, schemas.READING_JSON).alias("r"))
+    return parsed.select("line", "r.sensor_id", F.try_to_timestamp("r.ts").alias("ts"), "r.reading")
+
+
+def _complete() -> Column:
+    return F.col("sensor_id").isNotNull() & F.col("ts").isNotNull() & F.col("reading").isNotNull()
 
 
 def json_readings(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,7 +117,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pin_utc(spark)
-    return spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # The pattern finds the table as one file and as a folder of many.
+    return spark.readStream.schema(schemas.EVENTS).parquet(f"{sf_dir}/events.parquet*")
 
 
 def fixture_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
