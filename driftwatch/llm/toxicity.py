@@ -30,7 +30,7 @@ MAX_ROWS = 3000
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
-EPOCHS = 8
+STEPS = 600
 RATE = 0.02
 DECAY = 1e-6
 MIN_DOCS = 10
@@ -86,7 +86,7 @@ def bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(texts: list[str], toxic: list[int], odds: float = 1.0) -> Model:
-    """Train embeddings and softmax together, by Adam in small batches. odds: of `toxic` in the data over the sample's."""
+    """Train embeddings and softmax together, by Adam, with the same number of small batches for any sample. odds: of `toxic` in the data over the sample's."""
     known: dict[str, np.ndarray] = {}
     bags = [bag(text, known) for text in texts]
     # A bucket that few documents share would only learn those by heart; it stays zero, as one never seen.
@@ -102,10 +102,12 @@ def fit(texts: list[str], toxic: list[int], odds: float = 1.0) -> Model:
     first = [np.zeros_like(p) for p in parameters]
     second = [np.zeros_like(p) for p in parameters]
     step = 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = random.permutation(len(texts))
         for rows in (order[k:k + BATCH] for k in range(0, len(order), BATCH)):
             step += 1
+            if step > STEPS:
+                break
             grads = [DECAY * embedding, np.zeros_like(softmax), np.zeros_like(bias)]
             for row in rows:
                 buckets, share = bags[row]
