@@ -203,8 +203,8 @@ def test_packing(docs, odd):
 
 
 def test_toxicity(spark, odd):
-    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = documents(spark, "/root/testdata/sf0.1").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels)
     marked = toxicity.scored(docs, model).join(labels, "doc_id").select("toxic", "score", toxicity.held_out(F.col("doc_id")).alias("h"))
     rows = [(r.score, r.toxic) for r in marked.collect() if r.h]
