@@ -30,7 +30,7 @@ from driftwatch.llm.tables import saved, small_side, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 36, 7
 SLOTS = BANDS * ROWS
 BATCH_DOCS = 1024
 BATCH_SHINGLES = 2_000_000

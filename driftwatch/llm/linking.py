@@ -64,13 +64,17 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Dat
     many copies were made from meets most of them and joins them at once. Each serves once, against the whole bucket. The rounds end
     when no bucket has such a member left that has not served. Then for any two members of different
     classes one has served, so every candidate pair that could still join classes was verified; pairs within
-    one class need no look, and a group of thousands of copies takes one comparison each.
+    one class need no look, and a group of thousands of copies takes one comparison each. A pair that shares several buckets
+    belongs to the least of them alone, so it is not made once for each; `before` holds an id's lesser buckets.
     """
     spark = members.sparkSession
     crowds = members.groupBy("bucket").agg(F.count("*").alias("crowd"))
-    degrees = members.join(crowds, "bucket").groupBy("id").agg(F.sum("crowd").alias("degree"))
-    labelled = saved(members.join(degrees, "id").select(
-        "bucket", "id", "degree", F.col("id").alias("root"), F.lit(False).alias("served")), "labelled")
+    # An id has one bucket a band at most, so the list is short.
+    owned = members.join(crowds, "bucket").groupBy("id").agg(
+        F.sum("crowd").alias("degree"), F.sort_array(F.collect_set("bucket")).alias("all"))
+    labelled = saved(owned.select("id", "degree", "all", F.posexplode("all").alias("at", "bucket")).select(
+        "bucket", "id", "degree", F.col("id").alias("root"), F.lit(False).alias("served"),
+        F.slice("all", F.lit(1), F.col("at")).alias("before")), "labelled")
     links = None
     for turn in range(1 << 10):
         sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.max("degree").alias("degree"))
@@ -82,11 +86,12 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Dat
         width = PIVOTS[min(turn, len(PIVOTS) - 1)]
         pivots = (live.where(~F.col("served") & (F.col("root") != F.col("top")))
                   .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
-                  .select("bucket", F.col("id").alias("pivot"), F.col("root").alias("pivot_root")))
+                  .select("bucket", F.col("id").alias("pivot"), F.col("root").alias("pivot_root"), F.col("before").alias("pivot_before")))
         pivots = saved(pivots, "pivots")
         if pivots.isEmpty():
             break
-        pairs = (live.join(pivots, (live["bucket"] == pivots["bucket"]) & (live["root"] != pivots["pivot_root"]))
+        first_shared = ~F.arrays_overlap("before", "pivot_before")
+        pairs = (live.join(pivots, (live["bucket"] == pivots["bucket"]) & (live["root"] != pivots["pivot_root"]) & first_shared)
                  .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
         found = saved(verify(saved(pairs, "pairs")), "links")
         links = found if links is None else links.unionByName(found)
@@ -95,7 +100,7 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Dat
         labelled = saved(
             live.drop("root", "top").join(roots, "id", "left").join(served, ["bucket", "id"], "left")
             .select("bucket", "id", "degree", F.coalesce("root", "id").alias("root"),
-                    (F.col("served") | F.coalesce("now", F.lit(False))).alias("served")), "labelled")
+                    (F.col("served") | F.coalesce("now", F.lit(False))).alias("served"), "before"), "labelled")
     if links is None:
         return spark.createDataFrame([], members.select("id", F.col("id").alias("root")).schema)
     return roots
