@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,10 +54,17 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(shared.select("bucket"), "bucket", "left_semi")
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _alike(bits: str, other_bits: str, apart: int) -> Column:
+    """Whether two bit sketches, lists of as many longs each, differ in no more than `apart` bits."""
+    differing = F.aggregate(F.zip_with(bits, other_bits, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return differing <= apart
+
+
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], apart: int | None = None) -> DataFrame:
     """(id, root) for the ids of candidate buckets that verified links connect.
 
     members: saved rows (bucket, id) of buckets with several ids. verify: keeps the pairs (a, b) that are links.
+    apart: if given, members carry `bits`, a list of longs, and pairs that differ in more bits are no candidates.
 
     A round compares a few pivots of each bucket with its members of other classes and joins classes. Pivots
     come from outside a bucket's largest class, those with the most candidates in all their buckets first: the text that
@@ -70,11 +77,12 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Dat
     spark = members.sparkSession
     crowds = members.groupBy("bucket").agg(F.count("*").alias("crowd"))
     # An id has one bucket a band at most, so the list is short.
+    extra = [] if apart is None else ["bits"]
     owned = members.join(crowds, "bucket").groupBy("id").agg(
-        F.sum("crowd").alias("degree"), F.sort_array(F.collect_set("bucket")).alias("all"))
-    labelled = saved(owned.select("id", "degree", "all", F.posexplode("all").alias("at", "bucket")).select(
+        F.sum("crowd").alias("degree"), F.sort_array(F.collect_set("bucket")).alias("all"), *[F.first(c).alias(c) for c in extra])
+    labelled = saved(owned.select("id", "degree", "all", *extra, F.posexplode("all").alias("at", "bucket")).select(
         "bucket", "id", "degree", F.col("id").alias("root"), F.lit(False).alias("served"),
-        F.slice("all", F.lit(1), F.col("at")).alias("before")), "labelled")
+        F.slice("all", F.lit(1), F.col("at")).alias("before"), *extra), "labelled")
     links = None
     for turn in range(1 << 10):
         sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.max("degree").alias("degree"))
@@ -86,12 +94,15 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Dat
         width = PIVOTS[min(turn, len(PIVOTS) - 1)]
         pivots = (live.where(~F.col("served") & (F.col("root") != F.col("top")))
                   .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
-                  .select("bucket", F.col("id").alias("pivot"), F.col("root").alias("pivot_root"), F.col("before").alias("pivot_before")))
+                  .select("bucket", F.col("id").alias("pivot"), F.col("root").alias("pivot_root"), F.col("before").alias("pivot_before"),
+                          *[F.col(c).alias(f"pivot_{c}") for c in extra]))
         pivots = saved(pivots, "pivots")
         if pivots.isEmpty():
             break
-        first_shared = ~F.arrays_overlap("before", "pivot_before")
-        pairs = (live.join(pivots, (live["bucket"] == pivots["bucket"]) & (live["root"] != pivots["pivot_root"]) & first_shared)
+        wanted = ~F.arrays_overlap("before", "pivot_before")
+        if apart is not None:
+            wanted = _alike("bits", "pivot_bits", apart) & wanted
+        pairs = (live.join(pivots, (live["bucket"] == pivots["bucket"]) & (live["root"] != pivots["pivot_root"]) & wanted)
                  .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
         found = saved(verify(saved(pairs, "pairs")), "links")
         links = found if links is None else links.unionByName(found)
@@ -100,7 +111,7 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Dat
         labelled = saved(
             live.drop("root", "top").join(roots, "id", "left").join(served, ["bucket", "id"], "left")
             .select("bucket", "id", "degree", F.coalesce("root", "id").alias("root"),
-                    (F.col("served") | F.coalesce("now", F.lit(False))).alias("served"), "before"), "labelled")
+                    (F.col("served") | F.coalesce("now", F.lit(False))).alias("served"), "before", *extra), "labelled")
     if links is None:
         return spark.createDataFrame([], members.select("id", F.col("id").alias("root")).schema)
     return roots
