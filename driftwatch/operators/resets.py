@@ -203,28 +203,39 @@ TRAILING_ALERT = "failure string"
 
 
 class _RangeMeans:
-    """Means of one channel over index ranges, from running sums around the channel's own level."""
+    """Means of one channel over index ranges. Sums of halves, quarters and so on of the rows are only ever added up.
+
+    A huge, infinite or missing reading so touches no range that does not hold it.
+    """
 
     def __init__(self, mask: np.ndarray, x: np.ndarray):
-        usable = mask & ~np.isnan(x)
-        self.level = float(x[usable].mean()) if usable.any() else 0.0
-        zero = np.zeros(1)
-        self.sums = np.concatenate([zero, np.cumsum(np.where(usable, x - self.level, 0.0))])
-        self.counts = np.concatenate([zero, np.cumsum(mask)])
-        self.nans = np.concatenate([zero, np.cumsum(mask & np.isnan(x))])
+        self.counts = np.concatenate([np.zeros(1, np.int64), np.cumsum(mask)])
+        self.levels = [np.where(mask, x, 0.0)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            while len(self.levels[-1]) > 1:
+                below = self.levels[-1]
+                self.levels.append(np.add.reduceat(below, np.arange(0, len(below), 2)))
 
     def over(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.counts[end] - self.counts[begin]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mean = self.level + (self.sums[end] - self.sums[begin]) / n
-        return np.where(self.nans[end] > self.nans[begin], np.nan, mean), n
+        total = np.zeros(len(n))
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            for sums in self.levels:
+                left, right = (begin < end) & (begin & 1 > 0), (begin < end) & (end & 1 > 0)
+                total[left] += sums[begin[left]]
+                begin = begin + left
+                right &= begin < end
+                total[right] += sums[end[right] - 1]
+                begin, end = begin >> 1, (end - right) >> 1
+            return total / n, n
 
 
 def trailing_reset_step(rows: Columns, last: int, size_us: int, age_unit_us: int,
                         rule: ThresholdRule = ThresholdRule()) -> Columns:
     """Test every reading's trailing range (t - size, t] of all four channels; an alert empties it.
 
-    The age that strain grows with is counted from the last alert. Position orders a motor's readings.
+    The age that strain grows with is counted from the last alert. Position orders a motor's readings; one that
+    repeats the alerting sensor and time comes after the alert.
     """
     positions, ts, channel, x = (rows[name] for name in ("position", "ts_us", "channel", "reading"))
     n = len(ts)
@@ -244,14 +255,16 @@ def trailing_reset_step(rows: Columns, last: int, size_us: int, age_unit_us: int
 
     picks, names = [], []
     i = first_fresh(rows)
+    cleared = min(int(np.searchsorted(positions, last, "right")), max(i, int(np.searchsorted(positions, last, "left"))))
     while i < n:
-        cleared, since = int(np.searchsorted(positions, last, "right")), last >> 3
+        since = last >> 3
         i = first_true(lambda b, e: failures(b, e, cleared, since) != "", max(i, cleared), n)
         if i < n:
             picks.append(i)
             names.append(str(failures(i, i + 1, cleared, since)[0]))
             last = int(positions[i])
             i += 1
+            cleared = i
     return {"position": positions[picks], "failure": names}
 
 

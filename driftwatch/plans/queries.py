@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwatch import schemas
 from driftwatch.functions.channels import channel_of, motor_of, rad_per_second, sensor_of
 from driftwatch.functions.timegrid import DAY_US, HOUR_US, SECOND_US, epoch_seconds
 from driftwatch.operators import comparison, joins, latest, liveness, quantiles, resets, trailing, validation, windows
@@ -264,43 +265,51 @@ def alerts_age_strain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.select("motor_id", _time(), "failure")
 
 
-def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over the data present and read back what it wrote.
+def _replayed(spark: SparkSession, sf_dir: str, name: str, size_us: int,
+              form: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a stream over the readings present, close its last windows and read back what it wrote.
 
-    Results stay in the folder shared by the executors, next to the stream's own checkpoint.
+    Once the readings are through, one closing event two windows later moves the watermark past every window but
+    its own, which stays open and is not written. The stream has a session of its own so that its settings stay with it; it keeps
+    its number of state partitions for life, and one per core suits the whole cluster. Results stay in the folder
+    shared by the executors, next to the stream's own checkpoint.
     """
     folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
-    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-
-
-def _reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings as a stream, in a session of its own so that its settings stay with it.
-
-    A stream keeps its number of state partitions for life; one per core suits the whole cluster.
-    """
     session = spark.newSession()
     use_durable_state(session)
     session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    return readings_from_events(events_stream(session, sf_dir))
+    present = events(session, sf_dir)
+    after = F.max("ts") + F.expr(f"INTERVAL '{2 * size_us // 1_000_000}' SECOND")
+    closing = present.agg(after.alias("ts")).where("ts IS NOT NULL").select(
+        F.lit(0).cast("bigint").alias("event_id"), "ts", F.lit(0).cast("bigint").alias("user_id"),
+        F.lit("closing").alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+    closing.limit(0).write.parquet(f"{folder}/closing")
+    last = session.readStream.schema(schemas.EVENTS).parquet(f"{folder}/closing")
+    stream = form(readings_from_events(events_stream(session, sf_dir).unionByName(last)))
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+    writer = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    closing.write.mode("append").parquet(f"{folder}/closing")
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def stream_motor_alerts_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of the windows the watermark has closed."""
-    alerts = streaming.confidence_alerts(_reading_stream(spark, sf_dir), DAY_US)
-    return _drained(spark, alerts.select("motor_id", _window_start(), _time(), "failure"), "alerts")
+    def form(readings: DataFrame) -> DataFrame:
+        return streaming.confidence_alerts(readings, DAY_US).select("motor_id", _window_start(), _time(), "failure")
+
+    return _replayed(spark, sf_dir, "alerts", DAY_US, form)
 
 
 def stream_sensor_sliding_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = streaming.sensor_averages(_reading_stream(spark, sf_dir), 2 * DAY_US, DAY_US)
     columns = ["sensor_id", _window_start(), *_rounded("average"), "n", _time("max_ts").alias("max_time")]
-    return _drained(spark, averages.select(*columns), "sliding")
+    return _replayed(spark, sf_dir, "sliding", 2 * DAY_US,
+                     lambda readings: streaming.sensor_averages(readings, 2 * DAY_US, DAY_US).select(*columns))
 
 
 def stream_motor_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = streaming.motor_records_joined(_reading_stream(spark, sf_dir), DAY_US)
-    return _drained(spark, records.select(*_record_columns()), "records")
+    return _replayed(spark, sf_dir, "records", DAY_US,
+                     lambda readings: streaming.motor_records_joined(readings, DAY_US).select(*_record_columns()))
 
 
 QUERIES: dict[str, Query] = {

@@ -84,15 +84,16 @@ def alert_log(spark: SparkSession, folder: str, with_delay: bool = True) -> Data
 
 
 def runs_from_events(events: DataFrame) -> DataFrame:
-    """View click and view events as measured runs of the baseline and the candidate model."""
+    """View events as measured runs: four types stand for the four models, any other is a model of its own name."""
     # Motor groups of the measured configurations.
     groups = F.array(*[F.lit(v).cast("bigint") for v in (1, 2, 4, 8, 16, 24)])
-    picked = events.where(F.col("event_type").isin("click", "view"))
-    model = F.when(F.col("event_type") == "click", schemas.BASELINE_MODEL).otherwise(schemas.CANDIDATE_MODEL)
+    model = F.col("event_type")
+    for event_type, name in zip(("view", "purchase", "signup", "click"), schemas.MODELS):
+        model = F.when(F.col("event_type") == event_type, name).otherwise(model)
     window = F.element_at(
         F.array(*[F.lit(1 << i).cast("bigint") for i in range(13)]), (F.pmod("user_id", F.lit(13)) + 1).cast("int")
     )
-    return picked.select(
+    return events.select(
         "event_id",
         model.alias("model"),
         F.element_at(groups, (F.pmod("user_id", F.lit(6)) + 1).cast("int")).alias("motor_groups"),
