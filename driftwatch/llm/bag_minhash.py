@@ -4,7 +4,9 @@ The weight of a shingle is how often it occurs. Weights are cut at powers of two
 a Poisson process whose rate is its length, seeded by the shingle and the piece. Pieces below the weight count in full,
 and of the one that holds it the points whose mark lies below the weight. A point falls into one of SLOTS slots, and
 the earliest point of a slot is the signature there. Two documents agree in a slot with a probability of their weighted
-Jaccard similarity. A bit of each slot tells candidates far below the threshold before their texts are fetched. A process ends once its next point is later than all slots of its document, so most end after one.
+Jaccard similarity. A process ends once its next point is later than all slots of its document, so most end
+after one. A sketch of four bits a slot rules out candidates far below the threshold before their texts are fetched; of pairs at the
+threshold it loses about 3 in a million.
 
 Documents with equal multisets are one class at once. The others are cut into bands, candidates are verified by exact
 multiset overlap, and verified links are joined by distributed union-find (`linking`).
@@ -32,6 +34,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 7
 SLOTS = BANDS * ROWS
+PLANES, DEVIATIONS = 4, 4.5
+SKETCH = [f"{plane}_{word}" for plane in range(PLANES) for word in range(-(-SLOTS // 64))]
 BATCH_DOCS = 1024
 BATCH_SHINGLES = 2_000_000
 CACHED_WORDS = 300_000
@@ -121,17 +125,20 @@ def band_hashes(slots: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def slot_bits(slots: np.ndarray) -> np.ndarray:
-    """A bit of each slot, packed into longs: equal slots agree, others by half."""
-    ones = (_mixed(slots.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    whole = np.pad(ones, ((0, 0), (0, -SLOTS % 64)))
-    return np.packbits(whole, axis=1).view(np.int64)
+def sketches(slots: np.ndarray) -> np.ndarray:
+    """PLANES bits of each slot, plane by plane in longs: equal slots agree, others in one of sixteen."""
+    mixed = _mixed(slots.view(np.uint64))
+    planes = []
+    for k in range(PLANES):
+        ones = ((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)
+        planes.append(np.packbits(np.pad(ones, ((0, 0), (0, -SLOTS % 64))), axis=1).view(np.int64))
+    return np.concatenate(planes, axis=1)
 
 
-def bits_apart(similarity: float) -> int:
-    """Most differing bits of a candidate: what a pair at the threshold is expected to have, and six standard deviations more."""
-    share = (1 - similarity) / 2
-    return int(SLOTS * share + 6 * (SLOTS * share * (1 - share)) ** 0.5)
+def places_apart(similarity: float) -> int:
+    """Most differing places of a candidate: what a pair at the threshold is expected to have, and DEVIATIONS standard deviations more."""
+    share = (1 - similarity) * (1 - 0.5 ** PLANES)
+    return int(SLOTS * share + DEVIATIONS * (SLOTS * share * (1 - share)) ** 0.5)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -145,7 +152,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 FEATURES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("hi", T.LongType()),
     T.StructField("lo", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-    T.StructField("bits", T.ArrayType(T.LongType()))])
+    T.StructField("sketch", T.StructType([T.StructField(name, T.LongType()) for name in SKETCH]))])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +163,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = signatures(list(bags))
         digests = [xxhash.xxh3_128_digest(b.tobytes() + c.tobytes()) if len(b) else None for b, c in bags]
         whole = [[None if d is None else int.from_bytes(d[k:k + 8], "big", signed=True) for d in digests] for k in (0, 8)]
-        lists = [pa.array([x.tolist() if len(b) else None for x, (b, _) in zip(found, bags)], pa.list_(pa.int64()))
-                 for found in (band_hashes(slots), slot_bits(slots))]
+        bands = pa.array([x.tolist() if len(b) else None for x, (b, _) in zip(band_hashes(slots), bags)], pa.list_(pa.int64()))
+        sketch = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in sketches(slots).T], SKETCH)
         return pa.RecordBatch.from_arrays(
-            [*[pa.array(c, pa.int64()) for c in (docs, ties, *whole)], *lists],
+            [*[pa.array(c, pa.int64()) for c in (docs, ties, *whole)], bands, sketch],
             names=FEATURES.fieldNames())
 
     for batch in batches:
@@ -207,19 +214,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     features = saved(rows.mapInArrow(_features, FEATURES), "features")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
     bags = saved(features.where("hi IS NOT NULL").groupBy("hi", "lo").agg(
-        F.min(order).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        F.min(order).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         .withColumn("id", F.monotonically_increasing_id()), "bags")
-    members = saved(shared_buckets(bags.select(F.explode("bands").alias("bucket"), "id", "bits")), "members")
+    members = saved(shared_buckets(bags.select(F.explode("bands").alias("bucket"), "id")), "members")
     wanted = (bags.join(members.select("id").distinct(), "id", "left_semi")
               .select("id", F.col("first.doc_id").alias("_doc"), F.col("first.tie").alias("_tie")))
     wanted = small_side(saved(wanted, "wanted"))
     texts = saved(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
                   .select("id", "text").dropDuplicates(["id"]), "texts")
-    roots = saved(classes(members, lambda pairs: _verified(pairs, texts, similarity), bits_apart(similarity)), "roots")
+    roots = saved(classes(members, lambda pairs: _verified(pairs, texts, similarity), bags.select("id", "sketch"),
+                          places_apart(similarity)), "roots")
     rooted = bags.select("hi", "lo", "first", "n", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
     known = saved(rooted.join(heads, "root").select("hi", "lo", "head", "class_size"), "classes")
-    return features.drop("bands", "bits").join(known, ["hi", "lo"], "left").select(
+    return features.drop("bands", "sketch").join(known, ["hi", "lo"], "left").select(
         "doc_id", "tie",
         F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
         F.when(F.col("head").isNull(), F.col("tie")).otherwise(F.col("head.tie")).alias("class_tie"),

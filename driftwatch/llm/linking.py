@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from driftwatch.llm.tables import saved
@@ -54,17 +56,26 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(shared.select("bucket"), "bucket", "left_semi")
 
 
-def _alike(bits: str, other_bits: str, apart: int) -> Column:
-    """Whether two bit sketches, lists of as many longs each, differ in no more than `apart` bits."""
-    differing = F.aggregate(F.zip_with(bits, other_bits, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return differing <= apart
+def _alike(sketch: StructType, apart: int) -> Column:
+    """Whether the sketches of a member and a pivot differ in no more than `apart` places.
+
+    Fields are the bit planes of small numbers, named plane_word; a place differs if it does in any plane.
+    """
+    words: dict[str, Column] = {}
+    for field in sketch.fieldNames():
+        differs = F.col(f"sketch.{field}").bitwiseXOR(F.col(f"pivot_sketch.{field}"))
+        word = field.rpartition("_")[2]
+        words[word] = words[word].bitwiseOR(differs) if word in words else differs
+    return reduce(lambda x, y: x + y, map(F.bit_count, words.values())) <= apart
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], apart: int | None = None) -> DataFrame:
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None,
+            apart: int = 0) -> DataFrame:
     """(id, root) for the ids of candidate buckets that verified links connect.
 
     members: saved rows (bucket, id) of buckets with several ids. verify: keeps the pairs (a, b) that are links.
-    apart: if given, members carry `bits`, a list of longs, and pairs that differ in more bits are no candidates.
+    sketches: if given, a row (id, sketch) for each id, the sketch a struct of longs; pairs that differ in more than `apart` places
+    are no candidates.
 
     A round compares a few pivots of each bucket with its members of other classes and joins classes. Pivots
     come from outside a bucket's largest class, those with the most candidates in all their buckets first: the text that
@@ -77,9 +88,10 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], apart:
     spark = members.sparkSession
     crowds = members.groupBy("bucket").agg(F.count("*").alias("crowd"))
     # An id has one bucket a band at most, so the list is short.
-    extra = [] if apart is None else ["bits"]
     owned = members.join(crowds, "bucket").groupBy("id").agg(
-        F.sum("crowd").alias("degree"), F.sort_array(F.collect_set("bucket")).alias("all"), *[F.first(c).alias(c) for c in extra])
+        F.sum("crowd").alias("degree"), F.sort_array(F.collect_set("bucket")).alias("all"))
+    extra = [] if sketches is None else ["sketch"]
+    owned = owned if sketches is None else owned.join(sketches, "id")
     labelled = saved(owned.select("id", "degree", "all", *extra, F.posexplode("all").alias("at", "bucket")).select(
         "bucket", "id", "degree", F.col("id").alias("root"), F.lit(False).alias("served"),
         F.slice("all", F.lit(1), F.col("at")).alias("before"), *extra), "labelled")
@@ -100,8 +112,8 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], apart:
         if pivots.isEmpty():
             break
         wanted = ~F.arrays_overlap("before", "pivot_before")
-        if apart is not None:
-            wanted = _alike("bits", "pivot_bits", apart) & wanted
+        if sketches is not None:
+            wanted = _alike(sketches.schema["sketch"].dataType, apart) & wanted
         pairs = (live.join(pivots, (live["bucket"] == pivots["bucket"]) & (live["root"] != pivots["pivot_root"]) & wanted)
                  .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
         found = saved(verify(saved(pairs, "pairs")), "links")
