@@ -17,18 +17,28 @@ from driftwatch.session import ensure_checkpoint_dir
 BINS = 1024
 
 
+def _finite(value: Column) -> Column:
+    return ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
+
+
 def _bin(value: Column, low: Column, high: Column) -> Column:
-    """Equal-width bin; it never decreases with the value, which is all that exactness needs."""
-    width = F.nullif(high - low, F.lit(0.0))
-    place = F.floor((value - low) / width * F.lit(float(BINS)))
-    return F.coalesce(F.least(place, F.lit(BINS - 1).cast("bigint")), F.lit(0).cast("bigint"))
+    """Equal-width bin from 1 on; it never decreases with the value, which is all that exactness needs.
+
+    Minus infinity, infinity and NaN have bins of their own at the ends, so that they do not widen the range. Halves are
+    subtracted, as the difference of two finite values may not be finite.
+    """
+    width = F.nullif(high / 2 - low / 2, F.lit(0.0))
+    place = F.floor((value / 2 - low / 2) / width * F.lit(float(BINS)))
+    inner = F.coalesce(F.least(place, F.lit(BINS - 1).cast("bigint")), F.lit(0).cast("bigint")) + 1
+    return (F.when(F.isnan(value), BINS + 2).when(value == float("inf"), BINS + 1)
+            .when(value == float("-inf"), 0).otherwise(inner))
 
 
 def narrowed_quantiles(rows: DataFrame, groups: DataFrame, keys: list[str], probabilities: list[float],
                        levels: int) -> DataFrame:
     """Quantiles of `_x` for the listed groups, which carry `rows`, `low` and `high`.
 
-    `levels` histograms divide the value range by 1024 each. What survives a level is kept in the
+    `low` and `high` bound the finite values. `levels` histograms divide that range by 1024 each. What survives a level is kept in the
     checkpoint folder: the values of at most two bins per probability.
     """
     ensure_checkpoint_dir(rows.sparkSession)
@@ -44,7 +54,7 @@ def narrowed_quantiles(rows: DataFrame, groups: DataFrame, keys: list[str], prob
         .withColumns({"_id": zero, "_offset": zero})
     )
     for _ in range(levels):
-        number = F.col("_id") * F.lit(BINS) + _bin(F.col("_x"), F.col("_low"), F.col("_high"))
+        number = F.col("_id") * F.lit(BINS + 3) + _bin(F.col("_x"), F.col("_low"), F.col("_high"))
         binned = current.withColumn("_bin", number)
         sized = binned.groupBy(*keys, "_id", "_bin").agg(
             F.sum("_c").alias("_rows"),
@@ -71,7 +81,9 @@ def narrowed_quantiles(rows: DataFrame, groups: DataFrame, keys: list[str], prob
     quantiles = []
     for i, point in enumerate(points):
         lower, upper = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}")
-        quantiles.append(lower + (upper - lower) * (point - F.floor(point)))
+        # As the built-in percentile does it, also where a value is infinite.
+        between = (F.ceil(point) - point) * lower + (point - F.floor(point)) * upper
+        quantiles.append(F.when(lower == upper, lower).otherwise(between))
     return found.join(groups, keys).select(*keys, F.col("rows").alias("n"), F.array(*quantiles).alias("q"))
 
 
@@ -82,7 +94,8 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities:
     Null values are ignored.
     """
     values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    large = large_groups(values, keys, rows_per_task, low=F.min("_x"), high=F.max("_x"))
+    finite = F.when(_finite(F.col("_x")), F.col("_x"))
+    large = large_groups(values, keys, rows_per_task, low=F.min(finite), high=F.max(finite))
 
     def builtin(part: DataFrame) -> DataFrame:
         return part.groupBy(*keys).agg(
