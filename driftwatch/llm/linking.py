@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch
         "bucket", "id", "degree", F.col("id").alias("root"), F.lit(False).alias("served"),
         F.slice("all", F.lit(1), F.col("at")).alias("before"), *extra), "labelled")
     links = None
-    for turn in range(1 << 10):
+    for turn in count():
         sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.max("degree").alias("degree"))
         tops = sizes.groupBy("bucket").agg(
             F.max(F.struct("count", (-F.col("degree")).alias("apart"), "root")).alias("top"), F.count("*").alias("n"))
