@@ -48,14 +48,16 @@ class Tokens:
 
     A byte-level tokenizer starts a new chunk at a space before a visible character, so the text between two such
     spaces has the same ids wherever it occurs. These stretches are looked up; only new ones are tokenized. A word and
-    the marks behind it are chunks of their own and are learned apart.
+    the marks behind it are chunks of their own and are learned apart. A text that holds the literal of an added token, which
+    may take the space beside it, is tokenized whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.literal = re.compile("|".join(map(re.escape, added))) if added else None
         self.known: dict[str, bytes] = {}
         self.marked: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -93,6 +95,16 @@ class Tokens:
         return found | joint | other
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if self.literal and self.literal.search(t)]
+        if not whole:
+            return self._by_stretches(texts)
+        apart = set(whole)
+        found = self._by_stretches(["" if k in apart else t for k, t in enumerate(texts)])
+        for k, encoded in zip(whole, self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
+            found[k] = np.array(encoded.ids, "<u4").tobytes()
+        return found
+
+    def _by_stretches(self, texts: list[str]) -> list[bytes]:
         get = self.known.get
         split = [_SPACE.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
         heads = self._encoded([parts[0] for parts in split])
