@@ -51,4 +51,36 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
-LLM_ORACLES: dict[str, str] = {"op2_url_filters": OP2, "op4_exact_dedup": OP4}
+OP11 = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+occurring AS (
+  SELECT lang, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS phrase
+  FROM pieces, unnest(range(1, 5)) AS s(size), unnest(range(1, CAST(len(w) AS BIGINT) - size + 2)) AS p(pos)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+counts AS (SELECT lang, size, phrase, count(*) AS f FROM occurring GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.size, c.phrase, c.f AS a, k, array_to_string(list_slice(string_split(c.phrase, ' '), 1, k), ' ') AS first_part,
+         array_to_string(list_slice(string_split(c.phrase, ' '), k + 1, c.size), ' ') AS rest
+  FROM counts c, unnest(range(1, c.size)) AS u(k) WHERE c.size > 1),
+cut_scores AS (
+  SELECT u.lang, u.size, u.phrase, u.a, u.k, x.f AS l, y.f AS r, (2000000::HUGEINT * u.a) // (x.f::HUGEINT + y.f) AS score
+  FROM cuts u JOIN counts x ON x.lang = u.lang AND x.phrase = u.first_part JOIN counts y ON y.lang = u.lang AND y.phrase = u.rest),
+lowest AS (
+  SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(list_slice(string_split(phrase, ' '), pos, pos + part - 1), ' ') AS phrase, max(f) AS longer
+  FROM counts, unnest(range(2, size)) AS s(part), unnest(range(1, size - part + 2)) AS p(pos) WHERE size > 2 GROUP BY ALL),
+ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, encode(l.phrase)) AS rank
+  FROM lowest l LEFT JOIN inside i ON i.lang = l.lang AND i.phrase = l.phrase
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * l.a)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, CAST(t.n AS BIGINT) AS n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+LLM_ORACLES: dict[str, str] = {"op2_url_filters": OP2, "op4_exact_dedup": OP4, "op11_collocations": OP11}
