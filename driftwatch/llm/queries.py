@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.llm import (
-    bag_minhash, collocations, exact_dedup, line_dedup, lz_fingerprint, merkle_audit, mixing, packing, substring_dedup, toxicity,
+    bag_minhash, collocations, exact_dedup, line_dedup, lz_fingerprint, merkle_audit, mixing, packing, pii, substring_dedup, toxicity,
     url_filters, whitening,
 )
 from driftwatch.llm.tables import documents, text_of
@@ -95,6 +95,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.personal_data(docs, pii.train(docs)).drop("base")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -104,6 +109,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_line_dedup, op2_url_filters, op3_mixing, op4_exact_dedup, op5_substring_dedup, op6_bag_minhash,
         op7_lz_fingerprint, op8_best_fit_packing, op9_toxicity, op10_merkle_audit,
-        op11_collocations, op13_whitening,
+        op11_collocations, op12_personal_data, op13_whitening,
     )
 }
