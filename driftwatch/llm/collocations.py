@@ -33,11 +33,12 @@ SUPPORT = 30
 LONGEST = 4
 TOP = 2000
 SHARDS = 4
+SHARD_ROOM = 1 << 16
 SCALE = 2_000_000
 CONTAINED = 80  # percent
 SALTS = 16
-BLOCK_BYTES = 1 << 22
-COUNTED_KEYS = 1 << 22
+BLOCK_BYTES = 1 << 21
+COUNTED_KEYS = 1 << 21
 FILTER_BITS = 1 << 27
 FILTER_PARTS = 1 << 10
 ROWS_OUT = 1 << 17
@@ -88,8 +89,8 @@ class Words:
     def _places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each byte of a word: the word's number and the byte's place in it; also each word's first one of these."""
         first = np.cumsum(self.length) - self.length
-        number = np.repeat(np.arange(len(self)), self.length)
-        return number, np.arange(len(number)) - first[number], first
+        number = np.repeat(np.arange(len(self), dtype=np.int32), self.length)
+        return number, np.arange(len(number), dtype=np.int32) - first.astype(np.int32)[number], first
 
     def hashes(self) -> np.ndarray:
         _, place, first = self._places()
@@ -228,49 +229,66 @@ def _filter(keys: DataFrame, bits: int = FILTER_BITS, parts: int = FILTER_PARTS)
 
 
 class _Tally:
-    """Counts of phrases by shard, added up until there are many."""
+    """Counts of phrases by group, added up until there are many."""
 
     def __init__(self):
+        self.groups: dict[tuple[int, ...], int] = {}
         self.parts, self.size = [], 0
 
-    def add(self, keys: np.ndarray, salts: np.ndarray, shards: np.ndarray) -> None:
-        _, first, count = np.unique(_in_shard(keys, shards), return_index=True, return_counts=True)
-        self.parts.append((keys[first], salts[first], shards[first], count))
+    def numbers(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The number of each row's group; columns tell groups apart."""
+        known = self.groups
+        return np.array([known.setdefault(group, len(known)) for group in zip(*(c.tolist() for c in columns))], np.int32)
+
+    def add(self, keys: np.ndarray, groups: np.ndarray) -> None:
+        _, first, count = np.unique(_mixed(keys + groups.astype(np.uint64) * _RADIX), return_index=True, return_counts=True)
+        self.parts.append((keys[first], groups[first], count.astype(np.int32)))
         self.size += len(first)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
+    def rows(self, names: list[str], kinds: list[np.dtype]) -> Iterator[pa.RecordBatch]:
+        """Batches of the groups' columns, key and n. The numbers of groups hold until the next batch of texts."""
+        if not self.size:
             return
-        keys, salts, shards, counts = (np.concatenate(p) for p in zip(*self.parts))
+        keys, groups, counts = (np.concatenate(p) for p in zip(*self.parts))
         self.parts, self.size = [], 0
-        _, first, place = np.unique(_in_shard(keys, shards), return_index=True, return_inverse=True)
-        total = np.bincount(place, counts).astype(np.int64)
-        columns = [salts[first].view(np.int64), shards[first].astype(np.int32), keys[first].view(np.int64), total]
+        order = np.argsort(_mixed(keys + groups.astype(np.uint64) * _RADIX))
+        keys, groups = keys[order], groups[order]
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (groups[1:] != groups[:-1]))))
+        total = np.add.reduceat(counts[order].astype(np.int64), first)
+        keys, groups = keys[first].view(np.int64), groups[first]
+        columns = [np.array(c, kind) for c, kind in zip(zip(*self.groups), kinds)]
         for at in range(0, len(total), ROWS_OUT):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at:at + ROWS_OUT]) for c in columns], names=["salt", "shard", "key", "n"])
+            some = slice(at, at + ROWS_OUT)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[groups[some]]) for c in columns], pa.array(keys[some]), pa.array(total[some])],
+                                             names=[*names, "key", "n"])
 
 
-def _mined(rows: DataFrame, size: int, below: np.ndarray | None) -> DataFrame:
-    """Occurrences of phrases of `size` words by shard, of those whose parts of size - 1 words the filter holds."""
+def _mined(rows: DataFrame, size: int, below: np.ndarray | None, by: list[str]) -> DataFrame:
+    """Occurrences of phrases of `size` words by the columns `by`, of those whose parts of size - 1 words the filter holds."""
     shared = None if below is None else rows.sparkSession.sparkContext.broadcast(below)
+    kinds = [np.dtype(np.int32 if rows.schema[name].dataType.simpleString() == "int" else np.int64) for name in by]
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
+        tally, seen, numbers = _Tally(), None, None
         for batch, row, words in _blocks(batches):
+            if batch is not seen:
+                seen, numbers = batch, tally.numbers([batch.column(name).to_numpy(zero_copy_only=False) for name in by])
             salts = batch.column("salt").to_numpy(zero_copy_only=False).view(np.uint64)[row]
-            shards = batch.column("shard").to_numpy(zero_copy_only=False).astype(np.int64)[row]
             hashes, fits = words.hashes(), _runs(words, size)
             if shared is not None and len(fits):
+                shards = batch.column("shard").to_numpy(zero_copy_only=False).astype(np.int64)[row]
                 part = _holds(shared.value, _in_shard(_keys(hashes, salts, size - 1), shards[:len(hashes) - size + 2]))
                 fits &= part[:-1] & part[1:]
             at = np.flatnonzero(fits)
-            tally.add(_keys(hashes, salts, size)[at], salts[at], shards[at])
+            tally.add(_keys(hashes, salts, size)[at], numbers[row[at]])
             if tally.size > COUNTED_KEYS:
-                yield from tally.rows()
-        yield from tally.rows()
+                yield from tally.rows(by, kinds)
+        yield from tally.rows(by, kinds)
 
-    counted = rows.select("salt", "shard", "text").mapInArrow(mine, "salt bigint, shard int, key bigint, n bigint")
-    return counted.groupBy("salt", "shard", "key").agg(F.sum("n").alias("n"))
+    columns = [name for name in dict.fromkeys(["salt", "shard", *by])] + ["text"]
+    schema = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in by)
+    counted = rows.select(*columns).mapInArrow(mine, f"{schema}, key bigint, n bigint")
+    return counted.groupBy(*by, "key").agg(F.sum("n").alias("n"))
 
 
 def _supports(words: DataFrame, support: int) -> DataFrame:
@@ -284,15 +302,15 @@ def _supports(words: DataFrame, support: int) -> DataFrame:
 
 def candidates(rows: DataFrame, support: int, longest: int) -> np.ndarray:
     """The filter of all phrases that are frequent in some shard, up to `longest` words."""
-    found, below, supports = [], None, None
-    for size in range(1, longest + 1):
-        counted = _mined(rows, size, below)
-        if size == 1:
-            counted = saved(counted, "words")
-            supports = saved(_supports(counted, support), "supports")
-        frequent = counted.join(small_side(supports), ["salt", "shard"]).where("n >= local")
-        found.append(saved(frequent.select("key", "shard"), "frequent"))
-        below = _filter(found[-1]) if size < longest else None
+    words = saved(_mined(rows, 1, None, ["salt", "shard"]), "words")
+    supports = small_side(saved(_supports(words, support), "supports"))
+    frequent = words.join(supports, ["salt", "shard"]).where("n >= local")
+    found = [saved(frequent.select("key", "shard"), "frequent")]
+    # Local support and shard in one number: that and the key are all that later levels shuffle.
+    grouped = rows.join(supports, ["salt", "shard"]).withColumn("group", F.col("local") * SHARD_ROOM + F.col("shard"))
+    for size in range(2, longest + 1):
+        counted = _mined(grouped, size, _filter(found[-1]), ["group"]).where(F.col("n") >= F.floor(F.col("group") / SHARD_ROOM))
+        found.append(saved(counted.select("key", (F.col("group") % SHARD_ROOM).cast("int").alias("shard")), "frequent"))
     union = found[0]
     for level in found[1:]:
         union = union.unionByName(level)
