@@ -254,6 +254,26 @@ FROM spread GROUP BY sensor_id, window_start"""
 THROTTLED_ROWS = f"WITH {THROTTLED} SELECT sensor_id, at_us / 1e6 AS time, round(average, 6) AS average, n FROM report"
 
 
+SENSOR_TRAILING = f"""WITH {READINGS}
+SELECT event_id, sensor_id, round(avg(reading) OVER w, 6) AS average, count(*) OVER w AS n FROM reading_view
+WINDOW w AS (PARTITION BY sensor_id ORDER BY ts_us RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW)"""
+
+MOTOR_TRAILING = f"""WITH {READINGS}
+SELECT event_id, motor_id, round(avg(reading) FILTER (WHERE channel = 0) OVER w, 6) AS air,
+       round(avg(reading) FILTER (WHERE channel = 1) OVER w, 6) AS process,
+       round(avg(reading) FILTER (WHERE channel = 2) OVER w, 6) AS speed,
+       round(avg(reading) FILTER (WHERE channel = 3) OVER w, 6) AS torque
+FROM reading_view
+WINDOW w AS (PARTITION BY motor_id ORDER BY ts_us RANGE BETWEEN 172799999999 PRECEDING AND CURRENT ROW)"""
+
+LIVE = f"""WITH {READINGS},
+gaps AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY sensor_id ORDER BY ts_us) > 172800000000 AS gap FROM reading_view),
+segments AS (
+  SELECT *, sum(coalesce(gap, false)::int) OVER (PARTITION BY sensor_id ORDER BY ts_us RANGE UNBOUNDED PRECEDING) AS segment FROM gaps
+)
+SELECT event_id, sensor_id, ts_us / 1e6 AS time, round(reading, 6) AS reading FROM segments WHERE segment = 0"""
+
+
 ORACLES: dict[str, str] = {
     "motor_alerts_ci": ALERTS_CI,
     "motor_alerts_threshold": f"""WITH {READINGS}, {_motors()},
@@ -276,16 +296,8 @@ FROM reading_view GROUP BY ALL""",
 SELECT sensor_id, epoch(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'))::bigint AS window_start,
        round(avg(reading), 6) AS average
 FROM reading_view GROUP BY ALL""",
-    "sensor_trailing_avg": f"""WITH {READINGS}
-SELECT event_id, sensor_id, round(avg(reading) OVER w, 6) AS average, count(*) OVER w AS n FROM reading_view
-WINDOW w AS (PARTITION BY sensor_id ORDER BY ts_us RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW)""",
-    "motor_trailing_avg": f"""WITH {READINGS}
-SELECT event_id, motor_id, round(avg(reading) FILTER (WHERE channel = 0) OVER w, 6) AS air,
-       round(avg(reading) FILTER (WHERE channel = 1) OVER w, 6) AS process,
-       round(avg(reading) FILTER (WHERE channel = 2) OVER w, 6) AS speed,
-       round(avg(reading) FILTER (WHERE channel = 3) OVER w, 6) AS torque
-FROM reading_view
-WINDOW w AS (PARTITION BY motor_id ORDER BY ts_us RANGE BETWEEN 172799999999 PRECEDING AND CURRENT ROW)""",
+    "sensor_trailing_avg": SENSOR_TRAILING,
+    "motor_trailing_avg": MOTOR_TRAILING,
     "join_temp_diff": _chain(
         "SELECT motor_id, window_start, round(temperature_difference, 6) AS temperature_difference FROM diff"),
     "join_speed_torque": _chain("""
@@ -370,4 +382,7 @@ FROM alerts WHERE failure IS NOT NULL""",
     "stream_motor_alerts_ci": ALERTS_CI,
     "stream_sensor_sliding_avg": SLIDING,
     "stream_motor_join_chain": MOTOR_CHAIN,
+    "stream_sensor_trailing_avg": SENSOR_TRAILING,
+    "stream_motor_trailing_avg": MOTOR_TRAILING,
+    "stream_live_readings": LIVE,
 }

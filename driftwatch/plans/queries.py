@@ -21,10 +21,12 @@ from driftwatch.schemas import CHANNELS
 from driftwatch.session import ensure_checkpoint_dir, use_durable_state
 from driftwatch.sources.readings import events, events_stream, fan_in, fixture_readings, readings_from_events
 from driftwatch.sources.runs import name_parameters, numbered_runs_from_events, runs_from_events
+from driftwatch.streaming import trailing as live
 from driftwatch.streaming import windows as streaming
 
 START_US = 1_704_067_200 * SECOND_US  # 2024-01-01 00:00 UTC
 AGE_UNIT_US = 8640 * SECOND_US
+CLOSING_ID = -1  # of an event that only moves the watermark
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -312,6 +314,61 @@ def stream_motor_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
                      lambda readings: streaming.motor_records_joined(readings, DAY_US).select(*_record_columns()))
 
 
+SLICES = 5
+
+
+def _replayed_in_slices(spark: SparkSession, sf_dir: str, name: str, after_us: int,
+                        form: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Run a stream over the readings in slices of time, a micro-batch or more for each, and read back what it wrote.
+
+    The slices are written one after the other, so the stream finds them in this order; the files of a slice may come in any, so
+    the watermark stays a slice behind. A closing event moves it past everything else; its own rows are left out. form: makes
+    the stream from readings and lateness.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    session = spark.newSession()
+    use_durable_state(session)
+    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    present = events(session, sf_dir).where("ts IS NOT NULL")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = present.agg(F.min(micros), F.max(micros)).first()
+    width = 1 if first is None else (last - first) // SLICES + 1
+    present.limit(0).write.parquet(f"{folder}/events")
+    for k in range(0 if first is None else SLICES):
+        edge = first + k * width
+        present.where((micros >= edge) & (micros < edge + width)).write.mode("append").parquet(f"{folder}/events")
+    closing = session.range(1).select(
+        F.lit(CLOSING_ID).alias("event_id"), F.timestamp_micros(F.lit((last or 0) + width + after_us)).cast("timestamp_ntz").alias("ts"),
+        F.lit(CLOSING_ID).alias("user_id"), F.lit("closing").alias("event_type"), F.lit(0.0).alias("value"),
+        F.lit(None).cast("string").alias("props"))
+    closing.write.mode("append").parquet(f"{folder}/events")
+    source = session.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    stream = form(readings_from_events(source), width)
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+    query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").where(F.col("event_id") != CLOSING_ID)
+
+
+def stream_sensor_trailing_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = _replayed_in_slices(
+        spark, sf_dir, "sensor-trailing", 3 * DAY_US,
+        lambda readings, late: live.sensor_trailing_means(readings, 2 * DAY_US, late, extra=("event_id",)))
+    return means.select("event_id", "sensor_id", *_rounded("average"), F.col("n_average").alias("n"))
+
+
+def stream_motor_trailing_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = _replayed_in_slices(
+        spark, sf_dir, "motor-trailing", 3 * DAY_US,
+        lambda readings, late: live.motor_trailing_means(readings, 2 * DAY_US, late, extra=("event_id",)))
+    return means.select("event_id", "motor_id", *_rounded(*CHANNELS))
+
+
+def stream_live_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _replayed_in_slices(spark, sf_dir, "live", 3 * DAY_US, lambda readings, late: live.live_readings(readings, 2 * DAY_US, late))
+    return kept.select("event_id", "sensor_id", _time(), *_rounded("reading"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -352,5 +409,8 @@ QUERIES: dict[str, Query] = {
         stream_motor_alerts_ci,
         stream_sensor_sliding_avg,
         stream_motor_join_chain,
+        stream_sensor_trailing_avg,
+        stream_motor_trailing_avg,
+        stream_live_readings,
     )
 }
