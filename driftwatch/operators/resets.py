@@ -22,7 +22,7 @@ from driftwatch.functions.rules import (
     mean_count,
 )
 from driftwatch.functions.timegrid import SECOND_US, bucket_number
-from driftwatch.operators.chunkscan import Columns, chunked_scan, first_fresh, first_true
+from driftwatch.operators.chunkscan import Columns, chunked_scan, first_fresh, first_true, repeat_numbers
 from driftwatch.operators.joins import motor_records
 from driftwatch.operators.latest import latest_values
 from driftwatch.operators.splitting import ROWS_PER_TASK
@@ -231,11 +231,12 @@ class _RangeMeans:
 
 
 def trailing_reset_step(rows: Columns, last: int, size_us: int, age_unit_us: int,
-                        rule: ThresholdRule = ThresholdRule()) -> Columns:
+                        rule: ThresholdRule = ThresholdRule(), repeat: int = 0) -> Columns:
     """Test every reading's trailing range (t - size, t] of all four channels; an alert empties it.
 
-    The age that strain grows with is counted from the last alert. Position orders a motor's readings; one that
-    repeats the alerting sensor and time comes after the alert.
+    The age that strain grows with is counted from the last alert. Position orders a motor's readings; those that
+    repeat a sensor and time follow each other by value. The last alert came with the `repeat`-th of its position, so the repeats
+    behind that one still count.
     """
     positions, ts, channel, x = (rows[name] for name in ("position", "ts_us", "channel", "reading"))
     n = len(ts)
@@ -255,7 +256,7 @@ def trailing_reset_step(rows: Columns, last: int, size_us: int, age_unit_us: int
 
     picks, names = [], []
     i = first_fresh(rows)
-    cleared = min(int(np.searchsorted(positions, last, "right")), max(i, int(np.searchsorted(positions, last, "left"))))
+    cleared = min(int(np.searchsorted(positions, last, "left")) + repeat, int(np.searchsorted(positions, last, "right")))
     while i < n:
         since = last >> 3
         i = first_true(lambda b, e: failures(b, e, cleared, since) != "", max(i, cleared), n)
@@ -265,7 +266,7 @@ def trailing_reset_step(rows: Columns, last: int, size_us: int, age_unit_us: int
             last = int(positions[i])
             i += 1
             cleared = i
-    return {"position": positions[picks], "failure": names}
+    return {"position": positions[picks], "repeat": repeat_numbers(positions, picks), "failure": names}
 
 
 def alerts_trailing_reset(readings: DataFrame, size_us: int, start_us: int, age_unit_us: int = SECOND_US,
@@ -276,7 +277,7 @@ def alerts_trailing_reset(readings: DataFrame, size_us: int, start_us: int, age_
     )
     step = partial(trailing_reset_step, size_us=size_us, age_unit_us=age_unit_us, rule=rule)
     picks = chunked_scan(rows, "motor_id", step, TRAILING_ALERT, start_us << 3, "position",
-                         lookback_us=size_us, rows_per_task=rows_per_task)
+                         lookback_us=size_us, rows_per_task=rows_per_task, ties=["reading"])
     ts = F.timestamp_micros(F.shiftright("position", 3))
     return picks.select("motor_id", ts.alias("ts"), "failure")
 

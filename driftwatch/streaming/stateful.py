@@ -31,8 +31,8 @@ class OrderedScan(StatefulProcessor):
     """Runs a step over each key's rows in time order."""
 
     def __init__(self, step: Step, fields: T.StructType, order: str, start: int, key: str, outputs: list[str],
-                 keep: Callable[[Columns], Columns] | None, event_time: bool = False):
-        self.event_time = event_time
+                 keep: Callable[[Columns], Columns] | None, event_time: bool = False, ties: str | None = None):
+        self.event_time, self.ties = event_time, ties
         self.step, self.fields, self.order, self.start = step, fields, order, start
         self.key, self.outputs, self.keep = key, outputs, keep
 
@@ -40,7 +40,7 @@ class OrderedScan(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.fields)
         self.history = handle.getListState("history", self.fields)
-        self.last = handle.getValueState("last", T.StructType([T.StructField("position", T.LongType())]))
+        self.last = handle.getValueState("last", "position bigint, repeat bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names = self.fields.fieldNames()
@@ -74,12 +74,16 @@ class OrderedScan(StatefulProcessor):
             return
         at = self.fields.fieldNames().index(self.order)
         columns = self._columns(sorted(ready, key=lambda row: row[at]), True)
+        if self.ties:  # rows of one position follow each other by value, as in a table
+            order = np.lexsort([columns[self.ties], columns[self.order]])
+            columns = {name: values[order] for name, values in columns.items()}
         before = [tuple(row) for row in self.history.get()] if self.keep else []
         seen = appended(self._columns(before, False), columns) if before else columns
-        last = self.last.get()[0] if self.last.exists() else self.start
-        found = self.step(seen, last)
+        last, repeat = self.last.get() if self.last.exists() else (self.start, 0)
+        found = self.step(seen, last, repeat=repeat) if self.ties else self.step(seen, last)
         if len(found["position"]):
-            self.last.update((int(found["position"][-1]),))
+            repeat = int(found["repeat"][-1]) if self.ties else 0
+            self.last.update((int(found["position"][-1]), repeat))
             picks = pd.DataFrame({self.key: key[0], **{name: list(found[name]) for name in self.outputs}})
             if self.event_time:
                 picks["ts"] = pd.to_datetime(picks["position"], unit="us")
@@ -91,12 +95,12 @@ class OrderedScan(StatefulProcessor):
 
 
 def _scan(rows: DataFrame, key: str, columns: list[str], step: Step, order: str, start: int, picks: str,
-          keep: Callable[[Columns], Columns] | None = None, event_time: bool = False) -> DataFrame:
+          keep: Callable[[Columns], Columns] | None = None, event_time: bool = False, ties: str | None = None) -> DataFrame:
     """With `event_time`, picks carry `ts` (from a position in microseconds) for a stateful operator above."""
     fields = T.StructType([rows.schema[name] for name in columns])
     outputs = T.StructType([T.StructField(key, T.LongType()), *T.StructType.fromDDL(picks).fields])
     names = outputs.fieldNames()[1:]
-    processor = OrderedScan(step, fields, order, start, key, names, keep, event_time)
+    processor = OrderedScan(step, fields, order, start, key, names, keep, event_time, ties)
     grouped = rows.groupBy(key)
     if not event_time:
         return grouped.transformWithStateInPandas(processor, outputs, "append", "EventTime")
@@ -159,7 +163,7 @@ def alerts_trailing_reset(readings: DataFrame, size_us: int, start_us: int, age_
     )
     step = partial(resets.trailing_reset_step, size_us=size_us, age_unit_us=age_unit_us, rule=rule)
     picks = _scan(rows, "motor_id", ["position", "ts_us", "channel", "reading"], step, "position",
-                  start_us << 3, "position bigint, failure string", partial(recent, lookback_us=size_us))
+                  start_us << 3, "position bigint, failure string", partial(recent, lookback_us=size_us), ties="reading")
     ts = F.timestamp_micros(F.shiftright("position", 3))
     return picks.select("motor_id", ts.alias("ts"), "failure")
 
