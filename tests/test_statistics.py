@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from driftwatch.functions.student_t import SERIES_LIMIT, normal_upper, upper_tail
+from driftwatch.functions.student_t import upper_tail
 from driftwatch.operators.comparison import paired_differences, paired_t_test, verdicts
 from driftwatch.schemas import BASELINE_MODEL, CANDIDATE_MODEL
 
@@ -39,18 +39,50 @@ def _integrated(t, df, steps=40_000):
     return 0.5 - t / steps / 3 * (density[0] + density[-1] + 4 * sum(density[1:-1:2]) + 2 * sum(density[2:-1:2]))
 
 
+def _exact(t, df):
+    """The finite trigonometric series, for up to a few thousand degrees."""
+    angle = math.atan(t / math.sqrt(df))
+    square, total = math.cos(angle) ** 2, 0.0
+    if df % 2:
+        term = math.cos(angle)
+        for k in range(1, (df + 1) // 2):
+            total, term = total + term, term * square * 2 * k / (2 * k + 1)
+        return 0.5 - (angle + math.sin(angle) * total) / math.pi
+    term = 1.0
+    for k in range(1, df // 2 + 1):
+        total, term = total + term, term * square * (2 * k - 1) / (2 * k)
+    return 0.5 - math.sin(angle) * total / 2
+
+
+def test_few_degrees(spark):
+    pairs = [(t, df) for df in (*range(1, 13), 30, 99, 100, 999, 1000, 1001, 3000)
+             for t in (0.0, 1e-9, 0.01, 0.4, 1.0, 1.7, 1.74, 2.5, 3.9, 4.1, 6.0, 9.0, 40.0, 1e4)]
+    for (t, df), p in zip(pairs, _tails(spark, pairs), strict=True):
+        assert p == pytest.approx(_exact(t, df), abs=1e-12), (t, df)
+
+
+def _integrated_exactly(t, df):
+    """Gauss-Legendre quadrature with the scale from its series in 1/df."""
+    import numpy as np
+
+    x, w = np.polynomial.legendre.leggauss(300)
+    u, z = (x + 1) / 2 * t, 4.0 * df
+    scale = (1 - 1 / z + 1 / (2 * z * z) + 5 / (2 * z ** 3)) / math.sqrt(2 * math.pi)
+    return 0.5 - scale * float((w * np.exp(-(df + 1) / 2 * np.log1p(u * u / df))).sum()) * t / 2
+
+
 def test_many_degrees(spark):
-    pairs = [(t, df) for t in (0.5, 1.96, 3.5, 6.0) for df in (SERIES_LIMIT, SERIES_LIMIT + 1, 20_000, 10**12)]
-    for (t, df), p in zip(pairs, _tails(spark, pairs)):
-        expected = _integrated(t, df) if df < 10**6 else math.erfc(t / math.sqrt(2)) / 2
-        assert p == pytest.approx(expected, abs=2e-11)
+    pairs = [(t, df) for df in (999, 1000, 1001, 20_000, 10**6, 10**7) for t in (0.5, 1.0, 1.73, 1.74, 1.96, 3.5, 3.99, 4.01, 6.0)]
+    for (t, df), p in zip(pairs, _tails(spark, pairs), strict=True):
+        assert p == pytest.approx(_integrated_exactly(t, df), abs=1e-12), (t, df)
+        assert p == pytest.approx(_integrated(t, df), abs=2e-11) if df < 10**6 else True
 
 
-def test_normal_tail(spark):
-    zs = [0.0, 0.5, 2.99, 3.0, 5.0, 12.0]
-    df = spark.createDataFrame([(z,) for z in zs], "z double")
-    for z, p in zip(zs, [r[0] for r in df.select(normal_upper(F.col("z"))).collect()]):
-        assert p == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, rel=1e-10)
+def test_extreme_arguments(spark):
+    inf, nan = math.inf, math.nan
+    up, down, none = _tails(spark, [(inf, 3), (-inf, 3), (None, 3)])
+    assert (up, down, none) == (0.0, 1.0, None)
+    assert math.isnan(_tails(spark, [(nan, 3)])[0]) and _tails(spark, [(1e200, 1)])[0] < 1e-190
 
 
 def _runs(spark, baseline, candidate):
