@@ -1,83 +1,81 @@
 """Exact quantiles per group, for groups of any size.
 
 The built-in exact percentile keeps a group's distinct values in one task, which suits ordinary groups.
-For large ones the wanted ranks are found by narrowing value ranges: a histogram per group names the few
-bins that hold a wanted rank, only their values go on to a finer histogram, and only the values of the
-last bins are ranked.
+For large ones the wanted ranks are found by radix selection: doubles map to 64-bit numbers of the same order, and four passes
+settle sixteen bits each. A pass counts the values that agree with a wanted rank so far by their next sixteen bits; tasks
+fold their rows into such counts, so what meets per group and rank is a table of at most 65,536 counts, however the
+values lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from driftwatch.operators.splitting import ROWS_PER_TASK, large_groups
+from driftwatch.operators.splitting import MAX_BROADCAST_KEYS, ROWS_PER_TASK, large_groups
 from driftwatch.session import ensure_checkpoint_dir
 
-BINS = 1024
+DIGIT_BITS = 16
+WORD_BITS = 64
+ALL_BUT_SIGN = (1 << 63) - 1
 
 
-def _finite(value: Column) -> Column:
-    return ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
+@arrow_udf(T.LongType())
+def image_of(values: pa.Array) -> pa.Array:
+    """Whole numbers in the order of doubles: minus infinity first, then numbers, infinity, NaN. Zeros are equal."""
+    bits = (values.to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+    return pa.array(bits ^ ((bits >> 63) & ALL_BUT_SIGN))
 
 
-def _bin(value: Column, low: Column, high: Column) -> Column:
-    """Equal-width bin from 1 on; it never decreases with the value, which is all that exactness needs.
+@arrow_udf(T.DoubleType())
+def value_of(images: pa.Array) -> pa.Array:
+    bits = images.to_numpy(zero_copy_only=False)
+    return pa.array((bits ^ ((bits >> 63) & ALL_BUT_SIGN)).view(np.float64))
 
-    Minus infinity, infinity and NaN have bins of their own at the ends, so that they do not widen the range. Halves are
-    subtracted, as the difference of two finite values may not be finite.
-    """
-    width = F.nullif(high / 2 - low / 2, F.lit(0.0))
-    place = F.floor((value / 2 - low / 2) / width * F.lit(float(BINS)))
-    inner = F.coalesce(F.least(place, F.lit(BINS - 1).cast("bigint")), F.lit(0).cast("bigint")) + 1
-    return (F.when(F.isnan(value), BINS + 2).when(value == float("inf"), BINS + 1)
-            .when(value == float("-inf"), 0).otherwise(inner))
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose count proves it small."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
-def narrowed_quantiles(rows: DataFrame, groups: DataFrame, keys: list[str], probabilities: list[float],
-                       levels: int) -> DataFrame:
-    """Quantiles of `_x` for the listed groups, which carry `rows`, `low` and `high`.
+def selected(images: DataFrame, keys: list[str], wanted: DataFrame, broadcast_rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """The numbers of given ranks: keys, `slot` and `image`.
 
-    `low` and `high` bound the finite values. `levels` histograms divide that range by 1024 each. What survives a level is kept in the
-    checkpoint folder: the values of at most two bins per probability.
+    images: keys and `image`. wanted: keys, `slot` and `rank`, from 0 on among the group's numbers in order.
     """
+    digit_range = (1 << DIGIT_BITS) - 1
+    found = wanted.withColumn("prefix", F.lit(0).cast("bigint")).checkpoint()
+    for shift in range(WORD_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
+        top = shift == WORD_BITS - DIGIT_BITS
+        above = F.lit(0).cast("bigint") if top else F.shiftright("image", shift + DIGIT_BITS)
+        # The top digit has the sign; the others count from 0.
+        digit = F.shiftright("image", shift) if top else F.shiftright("image", shift).bitwiseAND(F.lit(digit_range).cast("bigint"))
+        sought = _small(found.select(*keys, "prefix").distinct(), broadcast_rows)
+        counts = (images.select(*keys, above.alias("prefix"), digit.alias("digit")).join(sought, [*keys, "prefix"])
+                  .groupBy(*keys, "prefix", "digit").agg(F.count(F.lit(1)).alias("rows")))
+        order = Window.partitionBy(*keys, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counts.withColumn("end", F.sum("rows").over(order))
+        inside = (F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("rows"))
+        prefix = F.col("digit") if top else F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("digit"))
+        found = placed.join(_small(found, broadcast_rows), [*keys, "prefix"]).where(inside).select(
+            *keys, "slot", (F.col("rank") - F.col("end") + F.col("rows")).alias("rank"), prefix.alias("prefix")).checkpoint()
+    return found.select(*keys, "slot", F.col("prefix").alias("image"))
+
+
+def radix_quantiles(rows: DataFrame, groups: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+    """Quantiles of `_x` for the listed groups, which carry their number of `rows`: keys, `n`, `q`."""
     ensure_checkpoint_dir(rows.sparkSession)
     points = [(F.col("rows") - F.lit(1)) * F.lit(float(p)) for p in probabilities]
     ranks = F.array(*[edge(point).cast("bigint") for point in points for edge in (F.floor, F.ceil)])
-    ranges = groups.select(*keys, ranks.alias("_ranks"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-
-    # Equal values are folded first. `_id` names a bin; `_offset` counts the group's rows below it.
-    zero = F.lit(0).cast("bigint")
-    current = (
-        rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-        .join(ranges, keys)
-        .withColumns({"_id": zero, "_offset": zero})
-    )
-    for _ in range(levels):
-        number = F.col("_id") * F.lit(BINS + 3) + _bin(F.col("_x"), F.col("_low"), F.col("_high"))
-        binned = current.withColumn("_bin", number)
-        sized = binned.groupBy(*keys, "_id", "_bin").agg(
-            F.sum("_c").alias("_rows"),
-            F.min("_x").alias("_bin_low"),
-            F.max("_x").alias("_bin_high"),
-            F.max("_offset").alias("_base"),
-            F.max("_ranks").alias("_wanted"),
-        )
-        before = Window.partitionBy(*keys, "_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        placed = sized.withColumn("_start", F.col("_base") + F.coalesce(F.sum("_rows").over(before), zero))
-        wanted = F.exists("_wanted", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_rows")))
-        kept = placed.where(wanted).select(*keys, "_bin", "_bin_low", "_bin_high", "_start")
-        current = binned.join(kept, [*keys, "_bin"]).select(
-            *keys, "_x", "_c", "_ranks", F.col("_bin").alias("_id"), F.col("_start").alias("_offset"),
-            F.col("_bin_low").alias("_low"), F.col("_bin_high").alias("_high"),
-        ).checkpoint()
-
-    upto = Window.partitionBy(*keys, "_id").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = current.withColumn("_end", F.col("_offset") + F.sum("_c").over(upto)).select(
-        *keys, "_x", "_c", "_end", F.posexplode("_ranks").alias("_slot", "_rank")
-    ).where((F.col("_rank") >= F.col("_end") - F.col("_c")) & (F.col("_rank") < F.col("_end")))
+    images = rows.join(groups.select(*keys), keys).select(*keys, image_of("_x").alias("image")).checkpoint()
+    wanted = groups.select(*keys, F.posexplode(ranks).alias("slot", "rank"))
+    found = selected(images, keys, wanted).withColumn("_x", value_of("image"))
     slots = range(2 * len(probabilities))
-    found = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_slot") == s, F.col("_x"))).alias(f"_x{s}") for s in slots])
+    found = found.groupBy(*keys).agg(*[F.max(F.when(F.col("slot") == s, F.col("_x"))).alias(f"_x{s}") for s in slots])
     quantiles = []
     for i, point in enumerate(points):
         lower, upper = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}")
@@ -88,14 +86,13 @@ def narrowed_quantiles(rows: DataFrame, groups: DataFrame, keys: list[str], prob
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float],
-                    levels: int = 2, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """One row per group: the keys, `n`, and `q`, an array of linearly interpolated quantiles.
 
     Null values are ignored.
     """
     values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    finite = F.when(_finite(F.col("_x")), F.col("_x"))
-    large = large_groups(values, keys, rows_per_task, low=F.min(finite), high=F.max(finite))
+    large = large_groups(values, keys, rows_per_task)
 
     def builtin(part: DataFrame) -> DataFrame:
         return part.groupBy(*keys).agg(
@@ -105,7 +102,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities:
     if large is None:
         return builtin(values)
     small = builtin(values.join(large, keys, "left_anti"))
-    return small.unionByName(narrowed_quantiles(values, large, keys, probabilities, levels))
+    return small.unionByName(radix_quantiles(values, large, keys, probabilities))
 
 
 SUMMARY = ("lower_fence", "lower_quartile", "median", "upper_quartile", "upper_fence")

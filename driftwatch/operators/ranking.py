@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwatch.operators.splitting import ROWS_PER_TASK, large_groups
 
+def numbered(rows: DataFrame, keys: list[str], order: str, block: Column, name: str) -> DataFrame:
+    """`row_number` per `keys` in the order of `block`, and inside a block of the column `order`, unique there.
 
-def numbered(rows: DataFrame, keys: list[str], order: str, block: Column, name: str,
-             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """`row_number` per `keys` in the order of the unique column `order`.
-
-    `block` must not decrease with `order`. When some group is large, rows are numbered inside their
-    block and shifted by the rows of the blocks before it, so no group is sorted in one task. Choose
-    blocks that hold a bounded number of rows, such as ranges of an identifier.
+    Rows are numbered inside their block and shifted by the rows of the blocks before it, so no group is sorted in one
+    task. Choose blocks that hold a bounded number of rows, such as ranges of an identifier or the blocks of a file.
     """
-    if large_groups(rows, keys, rows_per_task) is None:
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint"))
     blocked = rows.withColumn("_block", block)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows")).select(
-        *keys, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+        *[F.col(key).alias(f"_key_{i}") for i, key in enumerate(keys)], F.col("_block").alias("_at"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    same = F.col("_block").eqNullSafe(F.col("_at"))
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"_key_{i}"))
     return (
         blocked.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_block"])
+        .join(offsets, same)
         .select(*rows.columns, (F.col("_offset") + F.col("_inside")).alias(name))
     )
