@@ -21,6 +21,7 @@ from driftwatch.schemas import CHANNELS
 from driftwatch.session import ensure_checkpoint_dir, use_durable_state
 from driftwatch.sources.readings import events, events_stream, fan_in, fixture_readings, readings_from_events
 from driftwatch.sources.runs import name_parameters, numbered_runs_from_events, runs_from_events
+from driftwatch.streaming import neighbours
 from driftwatch.streaming import trailing as live
 from driftwatch.streaming import windows as streaming
 
@@ -369,6 +370,13 @@ def stream_live_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("event_id", "sensor_id", _time(), *_rounded("reading"))
 
 
+def stream_consecutive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def form(readings: DataFrame, late: int) -> DataFrame:
+        return neighbours.changes(readings, "motor_id", "channel", ["sensor_id", "event_id"], late, late)
+
+    return _replayed_in_slices(spark, sf_dir, "changes", DAY_US, form).select("motor_id", "event_id", "channel", _time())
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -412,5 +420,6 @@ QUERIES: dict[str, Query] = {
         stream_sensor_trailing_avg,
         stream_motor_trailing_avg,
         stream_live_readings,
+        stream_consecutive_dedup,
     )
 }

@@ -13,51 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from driftwatch.schemas import CHANNELS
-from driftwatch.streaming.keyed import Header, StateParts, TrailingSums, Waiting
+from driftwatch.streaming.keyed import OrderedRows, StateParts, TrailingSums, Waiting, as_text, from_text
 from driftwatch.streaming.windows import watermarked
 
 BUCKETS = 8
 
 
-class _Ordered(StatefulProcessor):
-    """Keeps rows until the watermark has passed them and hands them on in order of time."""
-
-    def __init__(self, key: str, columns: list[str], bucket_us: int):
-        self.key, self.columns, self.bucket_us = key, columns, bucket_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.header = Header(handle, "header")
-        self.parts = StateParts(handle, "waiting")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [frame[self.columns] for frame in rows]
-        yield from self._batch(key, frames, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._batch(key, [], timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs())
-
-    def _batch(self, key, frames: list[pd.DataFrame], watermark_us: int, fired: int | None = None) -> Iterator[pd.DataFrame]:
-        numbers = self.header.load()
-        if fired is not None and numbers.get("timer") == fired:
-            del numbers["timer"]
-        yield from self.advance(key, frames, watermark_us, numbers)
-        self.header.store(numbers)
-
-    def wake(self, time_us: int, numbers: dict) -> None:
-        """Be called again when the watermark reaches a time, unless that is arranged."""
-        at = -(-time_us // 1000)
-        if numbers.get("timer") != at:
-            if "timer" in numbers:
-                self.handle.deleteTimer(numbers["timer"])
-            self.handle.registerTimer(at)
-            numbers["timer"] = at
-
-
-class TrailingMeans(_Ordered):
+class TrailingMeans(OrderedRows):
     """Sums and counts by channel over the range behind each reading."""
 
     def __init__(self, key: str, columns: list[str], size_us: int, closed: bool, channels: int):
@@ -98,17 +63,6 @@ class TrailingMeans(_Ordered):
             self.wake(numbers["last"] + self.size_us + 1000, numbers)
 
 
-def _as_text(rows: DataFrame, names: list[str]) -> list[Column]:
-    """Columns that are only carried along go as text: pandas has no null beside NaN, and no whole numbers with nulls."""
-    binary = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.BinaryType)]
-    return [(F.base64(name) if name in binary else F.col(name).cast("string")).alias(name) for name in names]
-
-
-def _from_text(rows: DataFrame, names: list[str]) -> list[Column]:
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    return [(F.unbase64(name) if isinstance(kinds[name], T.BinaryType) else F.col(name).cast(kinds[name])).alias(name) for name in names]
-
-
 NULL, NUMBER, UNDEFINED = 0, 1, 2
 
 
@@ -116,7 +70,7 @@ def _trailing(readings: DataFrame, key: str, lanes: list[str], extra: list[str],
               lateness_us: int) -> DataFrame:
     state = F.when(F.col("reading").isNull(), NULL).when(F.isnan("reading"), UNDEFINED).otherwise(NUMBER)
     given = watermarked(readings, lateness_us)
-    rows = given.select(key, *lanes, *_as_text(given, extra), "ts", "ts_us", "reading", state.alias("present"))
+    rows = given.select(key, *lanes, *as_text(given, extra), "ts", "ts_us", "reading", state.alias("present"))
     columns = [*lanes, *extra, "ts_us", "reading", "present"]
     parts = [T.StructField(f"{name}_{k}", kind) for k in range(len(names))
              for name, kind in (("sum", T.DoubleType()), ("undefined", T.BooleanType()), ("n", T.LongType()))]
@@ -130,7 +84,7 @@ def _trailing(readings: DataFrame, key: str, lanes: list[str], extra: list[str],
 
     reading = F.when(F.col("present") == NUMBER, F.col("reading")).when(F.col("present") == UNDEFINED, F.lit(float("nan")))
     return found.select(
-        key, *lanes, *_from_text(given, extra), F.timestamp_micros("ts_us").alias("ts"), "ts_us", reading.alias("reading"),
+        key, *lanes, *from_text(given, extra), F.timestamp_micros("ts_us").alias("ts"), "ts_us", reading.alias("reading"),
         *[c for k, name in enumerate(names) for c in (mean(k).alias(name), F.col(f"n_{k}").alias(f"n_{name}"))])
 
 
@@ -144,7 +98,7 @@ def motor_trailing_means(readings: DataFrame, size_us: int, lateness_us: int = 0
     return _trailing(readings, "motor_id", ["channel"], list(extra), list(CHANNELS), size_us, False, lateness_us)
 
 
-class LiveReadings(_Ordered):
+class LiveReadings(OrderedRows):
     """Passes readings on until the first silence, then none for good.
 
     The edge is the last reading known to follow the ones before it without a long gap. A reading at most one gap behind the edge
@@ -216,9 +170,9 @@ def live_readings(readings: DataFrame, gap_us: int, lateness_us: int = 0) -> Dat
     """The readings up to each sensor's first gap longer than `gap_us`, with all their columns."""
     given = watermarked(readings, lateness_us)
     carried = [name for name in given.columns if name not in ("sensor_id", "ts", "ts_us")]
-    rows = given.select("sensor_id", "ts", "ts_us", *_as_text(given, carried))
+    rows = given.select("sensor_id", "ts", "ts_us", *as_text(given, carried))
     schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in ("sensor_id", "ts_us", *carried)])
     processor = LiveReadings("sensor_id", ["ts_us", *carried], gap_us)
     found = rows.groupBy("sensor_id").transformWithStateInPandas(processor, schema, "append", "EventTime")
-    whole = found.select("sensor_id", F.timestamp_micros("ts_us").alias("ts"), "ts_us", *_from_text(given, carried))
+    whole = found.select("sensor_id", F.timestamp_micros("ts_us").alias("ts"), "ts_us", *from_text(given, carried))
     return whole.select(*given.columns)

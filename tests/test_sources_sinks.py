@@ -114,6 +114,18 @@ def test_append_runs(spark, run_folder, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "results")).count() == 16
 
 
+def test_repeated_appends(spark, run_folder, tmp_path):
+    """An append made again takes its own place; another one adds rows, also to the same folders."""
+    runs = run_metrics_files(spark, run_folder).select(
+        "id", "utime", "motor_groups", "duration_s", "window_ms", "slide_ms", "sensor_ms", "threads", "model")
+    folder, back = str(tmp_path / "results"), lambda: spark.read.option("header", True).csv(str(tmp_path / "results"))
+    for append_id in ("a", "a", "b", "a"):
+        append_runs(runs, folder, append_id)
+    assert back().count() == 2 * runs.count() and back().groupBy("append_id").count().collect()[0]["count"] == runs.count()
+    append_runs(runs.limit(1), folder, "a")  # what it held in other folders is another parameter set's
+    assert set(back().columns) == {*runs.columns, "append_id"}
+
+
 def test_delay_lines(spark, tmp_path):
     delays = spark.createDataFrame([(0.25,), (1.5,)], "delay double")
     append_delay_series(delays, str(tmp_path / "delays"))
