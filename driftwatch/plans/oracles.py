@@ -385,6 +385,10 @@ FROM alerts WHERE failure IS NOT NULL""",
     "stream_sensor_trailing_avg": SENSOR_TRAILING,
     "stream_motor_trailing_avg": MOTOR_TRAILING,
     "stream_live_readings": LIVE,
+    "stream_throttled_avg": THROTTLED_ROWS,
+    "stream_alerts_latest_reset": LATEST_RESET,
+    "stream_alerts_trailing_reset": TRAILING_RESET,
+    "stream_alerts_age_strain": AGE_STRAIN,
     "stream_consecutive_dedup": f"""WITH {READINGS},
 compared AS (SELECT *, lag(channel) OVER (PARTITION BY motor_id ORDER BY ts_us, sensor_id, event_id) AS previous FROM reading_view)
 SELECT motor_id, event_id, channel, ts_us / 1e6 AS time FROM compared WHERE previous IS DISTINCT FROM channel""",

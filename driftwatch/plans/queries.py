@@ -21,7 +21,7 @@ from driftwatch.schemas import CHANNELS
 from driftwatch.session import ensure_checkpoint_dir, use_durable_state
 from driftwatch.sources.readings import events, events_stream, fan_in, fixture_readings, readings_from_events
 from driftwatch.sources.runs import name_parameters, numbered_runs_from_events, runs_from_events
-from driftwatch.streaming import neighbours
+from driftwatch.streaming import neighbours, stateful
 from driftwatch.streaming import trailing as live
 from driftwatch.streaming import windows as streaming
 
@@ -348,7 +348,9 @@ def _replayed_in_slices(spark: SparkSession, sf_dir: str, name: str, after_us: i
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
     query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").where(F.col("event_id") != CLOSING_ID)
+    rows = spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    key = next(name for name in ("event_id", "sensor_id", "motor_id") if name in rows.columns)
+    return rows.where(F.col(key) != CLOSING_ID)
 
 
 def stream_sensor_trailing_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,6 +379,34 @@ def stream_consecutive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed_in_slices(spark, sf_dir, "changes", DAY_US, form).select("motor_id", "event_id", "channel", _time())
 
 
+def stream_throttled_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    averages = _replayed_in_slices(
+        spark, sf_dir, "throttled", 3 * DAY_US,
+        lambda readings, late: stateful.throttled_averages(readings, 2 * DAY_US, DAY_US, START_US, late))
+    return averages.select("sensor_id", epoch_seconds(F.col("ts_us")).alias("time"), *_rounded("average"), "n")
+
+
+def stream_alerts_latest_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = _replayed_in_slices(
+        spark, sf_dir, "latest-reset", 3 * DAY_US,
+        lambda readings, late: stateful.alerts_from_readings(readings, 2 * DAY_US, DAY_US, START_US, late))
+    return alerts.select("motor_id", _time(), "failure")
+
+
+def stream_alerts_trailing_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = _replayed_in_slices(
+        spark, sf_dir, "trailing-reset", 3 * DAY_US,
+        lambda readings, late: stateful.alerts_trailing_reset(readings, 2 * DAY_US, START_US, AGE_UNIT_US, late))
+    return alerts.select("motor_id", _time(), "failure")
+
+
+def stream_alerts_age_strain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = _replayed_in_slices(
+        spark, sf_dir, "age-strain", 3 * DAY_US,
+        lambda readings, late: stateful.alerts_age_strain(readings, DAY_US, START_US, AGE_UNIT_US, late))
+    return alerts.select("motor_id", _time(), "failure")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -421,5 +451,9 @@ QUERIES: dict[str, Query] = {
         stream_motor_trailing_avg,
         stream_live_readings,
         stream_consecutive_dedup,
+        stream_throttled_avg,
+        stream_alerts_latest_reset,
+        stream_alerts_trailing_reset,
+        stream_alerts_age_strain,
     )
 }
