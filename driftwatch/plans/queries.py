@@ -374,7 +374,7 @@ def stream_live_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_consecutive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def form(readings: DataFrame, late: int) -> DataFrame:
-        return neighbours.changes(readings, "motor_id", "channel", ["sensor_id", "event_id"], late, late)
+        return neighbours.changes(readings, "motor_id", "channel", ["sensor_id", "event_id"], late)
 
     return _replayed_in_slices(spark, sf_dir, "changes", DAY_US, form).select("motor_id", "event_id", "channel", _time())
 

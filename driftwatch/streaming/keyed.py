@@ -7,29 +7,36 @@ at the edges of the range, not what lies between.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator, MutableMapping
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PART_ROWS = 4096
+WAITING_ROWS = 1024
 
 
-def packed(frame: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(frame, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+Columns = dict[str, np.ndarray]
 
 
-def unpacked(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_all().to_pandas()
+def columns_of(frames: list[pd.DataFrame], names: list[str]) -> Columns:
+    """A key's rows of one batch as arrays; pandas costs more than the rows where a key has few."""
+    return {name: np.concatenate([frame[name].to_numpy() for frame in frames]) for name in names}
+
+
+def taken(columns: Columns, rows: np.ndarray | slice) -> Columns:
+    return {name: values[rows] for name, values in columns.items()}
+
+
+def together(parts: list[Columns]) -> Columns:
+    if len(parts) == 1:
+        return parts[0]
+    return {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
 
 
 class StateParts(MutableMapping):
@@ -71,40 +78,45 @@ class Header:
 
 
 class Waiting:
-    """Rows the watermark has not passed, in parts by bucket of time. A part is read once, when its rows are due.
+    """Rows the watermark has not passed, in parts of rows that follow each other in time.
 
-    numbers: what is kept in the header: the bucket, number and earliest time of each part.
+    A part is read when its first row is due; the rows of it that are not are put back, together with those of other parts.
+
+    numbers: what is kept in the header: number and earliest time of each part.
     """
 
-    def __init__(self, parts: MutableMapping, numbers: dict, width_us: int):
-        self.parts, self.numbers, self.width = parts, numbers, width_us
+    def __init__(self, parts: MutableMapping, numbers: dict):
+        self.parts, self.numbers = parts, numbers
         self.index: list[list[int]] = numbers.setdefault("waiting", [])
 
-    def add(self, frame: pd.DataFrame) -> None:
-        for bucket, rows in frame.groupby(frame["ts_us"] // self.width):
+    def add(self, rows: Columns) -> None:
+        rows = taken(rows, np.argsort(rows["ts_us"], kind="stable"))
+        for at in range(0, len(rows["ts_us"]), WAITING_ROWS):
+            part = taken(rows, slice(at, at + WAITING_ROWS))
             number = self.numbers.get("next_part", 0)
             self.numbers["next_part"] = number + 1
-            self.parts[number] = packed(rows)
-            self.index.append([int(bucket), number, int(rows["ts_us"].min())])
+            self.parts[number] = pickle.dumps(part, pickle.HIGHEST_PROTOCOL)
+            self.index.append([number, int(part["ts_us"][0])])
 
-    def due(self, watermark_us: int) -> pd.DataFrame | None:
-        """Take out the rows up to the watermark, in order of time."""
-        reached = [entry for entry in self.index if entry[2] <= watermark_us]
+    def due(self, watermark_us: int) -> Columns | None:
+        """Take out the rows up to the watermark, in order of time; None if there are none."""
+        reached = [entry for entry in self.index if entry[1] <= watermark_us]
         if not reached:
             return None
-        frames = []
+        found = []
         for entry in reached:
-            frames.append(unpacked(self.parts[entry[1]]))
-            del self.parts[entry[1]]
+            found.append(pickle.loads(self.parts[entry[0]]))
+            del self.parts[entry[0]]
             self.index.remove(entry)
-        rows = pd.concat(frames, ignore_index=True)
-        later = rows[rows["ts_us"] > watermark_us]
-        if len(later):
-            self.add(later)
-        return rows[rows["ts_us"] <= watermark_us].sort_values("ts_us", kind="stable", ignore_index=True)
+        rows = together(found)
+        rows = taken(rows, np.argsort(rows["ts_us"], kind="stable"))
+        ready = int(np.searchsorted(rows["ts_us"], watermark_us, "right"))
+        if ready < len(rows["ts_us"]):
+            self.add(taken(rows, slice(ready, None)))
+        return taken(rows, slice(ready))
 
     def earliest(self) -> int | None:
-        return min((entry[2] for entry in self.index), default=None)
+        return min((entry[1] for entry in self.index), default=None)
 
 
 class TrailingSums:
@@ -215,8 +227,8 @@ class TrailingSums:
 class OrderedRows(StatefulProcessor):
     """Keeps rows until the watermark has passed them and hands them on in order of time."""
 
-    def __init__(self, key: str, columns: list[str], bucket_us: int):
-        self.key, self.columns, self.bucket_us = key, columns, bucket_us
+    def __init__(self, key: str, columns: list[str]):
+        self.key, self.columns = key, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -224,19 +236,22 @@ class OrderedRows(StatefulProcessor):
         self.parts = StateParts(handle, "waiting")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [frame[self.columns] for frame in rows]
-        yield from self._batch(key, frames, timerValues.getCurrentWatermarkInMs() * 1000)
+        new = columns_of(list(rows), self.columns)
+        yield from self._batch(key, new, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._batch(key, [], timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._batch(key, None, timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs())
 
-    def _batch(self, key, frames: list[pd.DataFrame], watermark_us: int, fired: int | None = None) -> Iterator[pd.DataFrame]:
+    def _batch(self, key, new: Columns | None, watermark_us: int, fired: int | None = None) -> Iterator[pd.DataFrame]:
         numbers = self.header.load()
         if fired is not None and numbers.get("timer") == fired:
             del numbers["timer"]
-        yield from self.advance(key, frames, watermark_us, numbers)
+        yield from self.advance(key, new, watermark_us, numbers)
         self.header.store(numbers)
 
+    def passed(self, key, rows: Columns) -> pd.DataFrame:
+        return pd.DataFrame({self.key: key[0], **{name: rows[name] for name in self.columns}})
+
     def wake(self, time_us: int, numbers: dict) -> None:
         """Be called again when the watermark reaches a time, unless that is arranged."""
         at = -(-time_us // 1000)

@@ -7,40 +7,41 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwatch.streaming.keyed import OrderedRows, Waiting, as_text, from_text
+from driftwatch.streaming.keyed import Columns, OrderedRows, Waiting, as_text, from_text, taken
 from driftwatch.streaming.windows import watermarked
 
 
 class Changes(OrderedRows):
     """Keeps the last value of a key, and the rows that the watermark has not passed."""
 
-    def __init__(self, key: str, columns: list[str], bucket_us: int, order: list[str], value: str):
-        super().__init__(key, columns, bucket_us)
+    def __init__(self, key: str, columns: list[str], order: list[str], value: str):
+        super().__init__(key, columns)
         self.order, self.value = order, value
 
-    def advance(self, key, frames: list[pd.DataFrame], watermark_us: int, numbers: dict) -> Iterator[pd.DataFrame]:
-        waiting = Waiting(self.parts, numbers, self.bucket_us)
-        for frame in frames:
-            waiting.add(frame)
+    def advance(self, key, new: Columns | None, watermark_us: int, numbers: dict) -> Iterator[pd.DataFrame]:
+        waiting = Waiting(self.parts, numbers)
+        if new is not None:
+            waiting.add(new)
         rows = waiting.due(watermark_us)
-        if rows is not None and len(rows):
-            rows = rows.sort_values(["ts_us", *self.order], kind="stable", ignore_index=True)
+        if rows is not None:
+            rows = taken(rows, np.lexsort([rows[name] for name in reversed(["ts_us", *self.order])]))
             values = [None if pd.isna(v) else v for v in rows[self.value].tolist()]
             before = [numbers["value"] if "value" in numbers else object(), *values[:-1]]
             numbers["value"] = values[-1]
-            changed = rows[[a != b for a, b in zip(values, before)]]
-            if len(changed):
-                yield pd.DataFrame({self.key: key[0], **{name: changed[name] for name in self.columns}})
+            changed = np.array([a != b for a, b in zip(values, before)])
+            if changed.any():
+                yield self.passed(key, taken(rows, changed))
         if waiting.earliest() is not None:
             self.wake(waiting.earliest(), numbers)
 
 
-def changes(rows: DataFrame, key: str, value: str, order: list[str], lateness_us: int = 0, bucket_us: int = 1_000_000) -> DataFrame:
+def changes(rows: DataFrame, key: str, value: str, order: list[str], lateness_us: int = 0) -> DataFrame:
     """The rows of a key whose `value` is not that of the row before, read in the order of `ts` and then of `order`.
 
     order: whole-number columns without nulls. Null is a value of its own. All columns are kept; state is the last value of a
@@ -51,7 +52,7 @@ def changes(rows: DataFrame, key: str, value: str, order: list[str], lateness_us
     plain = given.select(key, "ts", "ts_us", *order, *as_text(given, carried))
     columns = ["ts_us", *order, *carried]
     schema = T.StructType([T.StructField(c, plain.schema[c].dataType) for c in (key, *columns)])
-    processor = Changes(key, columns, bucket_us, order, value)
+    processor = Changes(key, columns, order, value)
     found = plain.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
     whole = found.select(key, F.timestamp_micros("ts_us").alias("ts"), "ts_us", *order, *from_text(given, carried))
     return whole.select(*rows.columns)

@@ -16,37 +16,36 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from driftwatch.schemas import CHANNELS
-from driftwatch.streaming.keyed import OrderedRows, StateParts, TrailingSums, Waiting, as_text, from_text
+from driftwatch.streaming.keyed import Columns, OrderedRows, StateParts, TrailingSums, Waiting, as_text, from_text, taken, together
 from driftwatch.streaming.windows import watermarked
 
-BUCKETS = 8
-
 
 class TrailingMeans(OrderedRows):
     """Sums and counts by channel over the range behind each reading."""
 
     def __init__(self, key: str, columns: list[str], size_us: int, closed: bool, channels: int):
-        super().__init__(key, columns, max(size_us // BUCKETS, 1))
+        super().__init__(key, columns)
         self.size_us, self.closed, self.channels = size_us, closed, channels
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.sums = StateParts(handle, "sums")
 
-    def advance(self, key, frames: list[pd.DataFrame], watermark_us: int, numbers: dict) -> Iterator[pd.DataFrame]:
-        waiting = Waiting(self.parts, numbers, self.bucket_us)
-        for frame in frames:
-            waiting.add(frame)
+    def advance(self, key, new: Columns | None, watermark_us: int, numbers: dict) -> Iterator[pd.DataFrame]:
+        waiting = Waiting(self.parts, numbers)
+        if new is not None:
+            waiting.add(new)
         rows = waiting.due(watermark_us)
         queue = TrailingSums(self.sums, numbers, self.channels)
-        if rows is not None and len(rows):
-            here = np.zeros((len(rows), self.channels), np.int64)
-            lane = rows["channel"].to_numpy() if self.channels > 1 else np.zeros(len(rows), np.int64)
-            here[np.arange(len(rows)), lane] = rows["present"].to_numpy() != NULL
-            values = np.where(here > 0, rows["reading"].to_numpy()[:, None], 0.0)
-            sums, counts = queue.push(rows["ts_us"].to_numpy(), values, here, self.size_us, self.closed)
-            numbers["last"] = int(rows["ts_us"].iloc[-1])
-            found = {self.key: key[0], **{name: rows[name] for name in self.columns if name != self.key}}
+        if rows is not None:
+            times = rows["ts_us"]
+            here = np.zeros((len(times), self.channels), np.int64)
+            lane = rows["channel"] if self.channels > 1 else np.zeros(len(times), np.int64)
+            here[np.arange(len(times)), lane] = rows["present"] != NULL
+            values = np.where(here > 0, rows["reading"][:, None], 0.0)
+            sums, counts = queue.push(times, values, here, self.size_us, self.closed)
+            numbers["last"] = int(times[-1])
+            found = {self.key: key[0], **rows}
             for k in range(self.channels):
                 found |= {f"sum_{k}": sums[:, k], f"undefined_{k}": np.isnan(sums[:, k]), f"n_{k}": counts[:, k]}
             yield pd.DataFrame(found)
@@ -107,51 +106,47 @@ class LiveReadings(OrderedRows):
     """
 
     def __init__(self, key: str, columns: list[str], gap_us: int):
-        super().__init__(key, columns, max(gap_us, 1))
+        super().__init__(key, columns)
         self.gap_us = gap_us
 
-    def _passed(self, key, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({self.key: key[0], **{name: frame[name] for name in self.columns if name != self.key}})
-
-    def advance(self, key, frames: list[pd.DataFrame], watermark_us: int, numbers: dict) -> Iterator[pd.DataFrame]:
+    def advance(self, key, new: Columns | None, watermark_us: int, numbers: dict) -> Iterator[pd.DataFrame]:
         if numbers.get("cut"):
             return
-        waiting = Waiting(self.parts, numbers, self.bucket_us)
-        fresh = [frame for frame in frames if len(frame)]
+        waiting = Waiting(self.parts, numbers)
+        fresh = [] if new is None else [new]
         if "edge" not in numbers:
-            for frame in fresh:
-                waiting.add(frame)
-            fresh = []
+            for rows in fresh:
+                waiting.add(rows)
             due = waiting.due(watermark_us)
-            if due is None or not len(due):
+            if due is None:
                 self._again(waiting, numbers)
                 return
-            numbers["edge"] = int(due["ts_us"].iloc[0])
+            numbers["edge"] = int(due["ts_us"][0])
             fresh = [due]
         # What waits within a gap of the edge, or is due, is looked at with the new rows.
         edge = numbers["edge"]
         held = waiting.due(max(edge + self.gap_us, watermark_us))
-        frames = fresh if held is None else [*fresh, held]
-        if frames:
-            rows = pd.concat(frames, ignore_index=True).sort_values("ts_us", kind="stable", ignore_index=True)
-            times = rows["ts_us"].to_numpy()
-            reach = np.maximum.accumulate(np.maximum(np.concatenate([[edge], times]), edge))
+        parts = fresh if held is None else [*fresh, held]
+        if parts:
+            rows = together(parts)
+            rows = taken(rows, np.argsort(rows["ts_us"], kind="stable"))
+            times = rows["ts_us"]
+            reach = np.maximum.accumulate(np.concatenate([[edge], times]))
             broken = np.flatnonzero(times - reach[:-1] > self.gap_us)
-            connected = int(broken[0]) if len(broken) else len(rows)
+            connected = int(broken[0]) if len(broken) else len(times)
             numbers["edge"] = edge = int(reach[connected])
             if connected:
-                yield self._passed(key, rows[:connected])
-            if connected < len(rows):
-                waiting.add(rows[connected:])
+                yield self.passed(key, taken(rows, slice(connected)))
+            if connected < len(times):
+                waiting.add(taken(rows, slice(connected, None)))
             # Rows that waited beyond may follow the edge now.
             while (start := waiting.earliest()) is not None and start <= edge + self.gap_us:
                 more = waiting.due(edge + self.gap_us)
-                edge = max(edge, int(more["ts_us"].iloc[-1]))
-                numbers["edge"] = edge
-                yield self._passed(key, more)
+                numbers["edge"] = edge = max(edge, int(more["ts_us"][-1]))
+                yield self.passed(key, more)
         if edge + self.gap_us < watermark_us:
             for entry in numbers["waiting"]:
-                del self.parts[entry[1]]
+                del self.parts[entry[0]]
             if "timer" in numbers:
                 self.handle.deleteTimer(numbers["timer"])
             numbers.clear()

@@ -71,19 +71,21 @@ def test_infinity_leaves_with_its_reading():
     assert sums[:, 0].tolist() == [1.0, float("inf"), 2.0, 3.0]
 
 
-def test_waiting_rows():
+@pytest.mark.parametrize("part_rows", [2, 1024])
+def test_waiting_rows(monkeypatch, part_rows):
+    monkeypatch.setattr(keyed, "WAITING_ROWS", part_rows)
     draw = random.Random(3)
     store, numbers, seen, watermark, put = {}, {}, [], -1, []
+    rows_of = lambda columns: list(zip(columns["ts_us"].tolist(), columns["reading"].tolist()))
     for _ in range(40):
         new = [(draw.randrange(watermark + 1, watermark + 60), draw.random()) for _ in range(draw.randrange(9))]
         put += new
-        waiting = keyed.Waiting(store, numbers, 7)
+        waiting = keyed.Waiting(store, numbers)
         if new:
-            waiting.add(pd.DataFrame(new, columns=["ts_us", "reading"]))
+            waiting.add(keyed.columns_of([pd.DataFrame(new, columns=["ts_us", "reading"])], ["ts_us", "reading"]))
         watermark += draw.randrange(15)
         due = waiting.due(watermark)
-        if due is not None:
-            seen += list(due.itertuples(index=False, name=None))
+        seen += rows_of(due) if due is not None else []
         assert waiting.earliest() == min((t for t, _ in put if t > watermark), default=None)
-    seen += list(keyed.Waiting(store, numbers, 7).due(10**9).itertuples(index=False, name=None))
+    seen += rows_of(keyed.Waiting(store, numbers).due(10**9))
     assert [t for t, _ in seen] == sorted(t for t, _ in put) and sorted(seen) == sorted(put) and not store
