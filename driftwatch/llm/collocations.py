@@ -37,8 +37,8 @@ SHARD_ROOM = 1 << 16
 SCALE = 2_000_000
 CONTAINED = 80  # percent
 SALTS = 16
-BLOCK_BYTES = 1 << 21
-COUNTED_KEYS = 1 << 21
+BLOCK_BYTES = 1 << 20
+COUNTED_KEYS = 1 << 20
 FILTER_BITS = 1 << 27
 FILTER_PARTS = 1 << 10
 ROWS_OUT = 1 << 17
