@@ -8,7 +8,6 @@ and an empty table passes through as one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from driftwatch.llm import bag_minhash, exact_dedup, mixing, packing, toxicity
 from driftwatch.llm.queries import VOCABULARY
@@ -18,7 +17,7 @@ from driftwatch.llm.tables import documents, saved
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labels of these documents and drop what scores one half or more."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model, score_col="_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
