@@ -239,14 +239,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = near_classes(docs, id_col, text_col)
     out = found.where(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tie") == F.col("class_tie"))))
     out = saved(out.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct(), "others")
-    digest = F.xxhash64(text_of(text_col))
-    rest = docs.join(small_side(out), docs[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (digest == F.col("_tie")), "left_anti")
+    # Each document travels as a struct, so that its columns may have any name.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text_of(text_col)).alias("digest"))
+    same = F.col("doc").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_tie"))
+    rest = rows.join(small_side(out), same, "left_anti")
     # Rows repeated in id and text are copies too.
     twice = saved(found.where("class_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).count()
-                  .where("count > 1").select("_id", "_tie", F.lit(True).alias("_twice")), "twice")
-    marked = rest.join(small_side(twice), rest[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (digest == F.col("_tie")), "left")
-    names = docs.columns
-    row = F.struct(*names)
-    once = (marked.where(F.col("_twice")).select("_id", "_tie", row.alias("_row")).groupBy("_id", "_tie")
-            .agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row.*"))
-    return marked.where(F.col("_twice").isNull()).select(*names).unionByName(once)
+                  .where("count > 1").select("_id", "_tie", F.lit(True).alias("twice")), "twice")
+    marked = rest.join(small_side(twice), same, "left")
+    once = (marked.where("twice").groupBy("doc", "digest")
+            .agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*"))
+    return marked.where("twice IS NULL").select("row.*").unionByName(once)

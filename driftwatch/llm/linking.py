@@ -15,6 +15,8 @@ from driftwatch.llm.tables import saved
 
 # Pivots a bucket tries in the rounds that follow each other; the last number repeats.
 PIVOTS = (1, 8, 64, 512)
+# From so many candidates of a round on, each member first meets the pivot nearest to it.
+MANY_PAIRS = 20_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -57,8 +59,8 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(shared.select("bucket"), "bucket", "left_semi")
 
 
-def _alike(sketch: StructType, apart: int) -> Column:
-    """Whether the sketches of a member and a pivot differ in no more than `apart` places.
+def _places(sketch: StructType) -> Column:
+    """In how many places the sketches of a member and a pivot differ.
 
     Fields are the bit planes of small numbers, named plane_word; a place differs if it does in any plane.
     """
@@ -67,7 +69,12 @@ def _alike(sketch: StructType, apart: int) -> Column:
         differs = F.col(f"sketch.{field}").bitwiseXOR(F.col(f"pivot_sketch.{field}"))
         word = field.rpartition("_")[2]
         words[word] = words[word].bitwiseOR(differs) if word in words else differs
-    return reduce(lambda x, y: x + y, map(F.bit_count, words.values())) <= apart
+    return reduce(lambda x, y: x + y, map(F.bit_count, words.values()))
+
+
+def _joined(links: DataFrame | None, more: DataFrame) -> DataFrame:
+    found = saved(more, "links")
+    return found if links is None else links.unionByName(found)
 
 
 def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None,
@@ -85,6 +92,8 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch
     classes one has served, so every candidate pair that could still join classes was verified; pairs within
     one class need no look, and a group of thousands of copies takes one comparison each. A pair that shares several buckets
     belongs to the least of them alone, so it is not made once for each; `before` holds an id's lesser buckets.
+    Where a round has many pairs and sketches are given, each member meets its nearest pivot first, and of the other pairs
+    only those that are still of two classes then are verified.
     """
     spark = members.sparkSession
     crowds = members.groupBy("bucket").agg(F.count("*").alias("crowd"))
@@ -113,12 +122,23 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch
         if pivots.isEmpty():
             break
         wanted = ~F.arrays_overlap("before", "pivot_before")
+        places = F.lit(0)
         if sketches is not None:
-            wanted = _alike(sketches.schema["sketch"].dataType, apart) & wanted
-        pairs = (live.join(pivots, (live["bucket"] == pivots["bucket"]) & (live["root"] != pivots["pivot_root"]) & wanted)
-                 .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-        found = saved(verify(saved(pairs, "pairs")), "links")
-        links = found if links is None else links.unionByName(found)
+            places = _places(sketches.schema["sketch"].dataType)
+            wanted = (places <= apart) & wanted
+        pairs = saved(live.join(pivots, (live["bucket"] == pivots["bucket"]) & (live["root"] != pivots["pivot_root"]) & wanted)
+                      .select("id", "pivot", places.alias("places")), "pairs")
+        if sketches is not None and pairs.count() >= MANY_PAIRS:
+            nearest = saved(pairs.groupBy("id").agg(F.min(F.struct("places", "pivot")).alias("best"))
+                            .select("id", F.col("best.pivot").alias("pivot")), "nearest")
+            links = _joined(links, verify(_ordered(nearest.toDF("a", "b"))))
+            roots = saved(components(links), "roots")
+            sides = pairs
+            for side in ("id", "pivot"):
+                root = roots.select(F.col("id").alias(side), F.col("root").alias(f"{side}_now"))
+                sides = sides.join(root, side, "left").withColumn(f"{side}_now", F.coalesce(f"{side}_now", side))
+            pairs = sides.where(F.col("id_now") != F.col("pivot_now")).join(nearest, ["id", "pivot"], "left_anti")
+        links = _joined(links, verify(saved(_ordered(pairs.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "open")))
         roots = saved(components(links), "roots")
         served = pivots.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("now"))
         labelled = saved(

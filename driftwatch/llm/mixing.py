@@ -6,7 +6,7 @@ again by weight among the rest until none is above. Targets become whole blocks
 a source's blocks become quotas of its shards in the same way with the shard sizes as votes, and each shard takes its
 quota from its documents in a seeded order, from a seeded block on and around.
 
-Defined cases: a null text is empty; an empty text has size 0 and takes 0. A null source is a source of its own.
+Defined cases: a null text is empty; an empty text has size 0 and takes 0, and `mixture` keeps it once. A null source is a source of its own.
 Rows repeated in every column are documents of their own. A null id is kept. An empty table gives no rows. Other columns play no part.
 """
 
@@ -150,16 +150,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix with all their columns, each as often as the mix takes it, to the nearest whole.
 
-    Documents meet their counts by id and by a hash of the whole row, so rows that share an id keep their own count.
+    Documents meet their counts by id and by a hash of the whole row, so rows that share an id keep their own count. Rows
+    repeated in every column have one count together and come out that often. Documents without words take nothing
+    from a target and stay once each.
     """
-    row = F.struct(*[docs[name] for name in docs.columns])
+    row = F.struct("*")
     digest = F.xxhash64(F.to_json(row))
-    times = F.when(F.col("size") == 0, 0).otherwise(F.round(F.col("taken") / F.col("size"))).cast("bigint")
     taken = mixed(docs, id_col, text_col, source_col, carry={"_digest": digest}).select(
-        F.col("doc_id").alias("_id"), "_digest", times.alias("_times"))
-    counted = taken.groupBy("_id", "_digest").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows"))
+        F.col("doc_id").alias("_id"), "_digest", "size", "taken")
+    copies = F.when(F.max("size") == 0, F.count("*")).otherwise(F.round(F.sum("taken") / F.max("size"))).cast("bigint")
+    counted = taken.groupBy("_id", "_digest").agg(copies.alias("_times"), F.count("*").alias("_rows"))
     rows = docs.select(row.alias("_row"), digest.alias("_key"), F.col(id_col).alias("_own"))
-    met = rows.join(saved(counted, "taken"), (F.col("_key") == F.col("_digest")) & F.col("_own").eqNullSafe(F.col("_id")))
-    # Rows repeated in every column share their count: each stands for the whole, once divided.
-    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.round(F.col("_times") / F.col("_rows")), F.lit(1)).cast("bigint")))
-    return met.where(F.round(F.col("_times") / F.col("_rows")) > 0).select("_row", each).select("_row.*")
+    met = (rows.join(saved(counted, "taken"), (F.col("_key") == F.col("_digest")) & F.col("_own").eqNullSafe(F.col("_id")))
+           .where("_times > 0").select("_row", "_own", "_key", "_times", "_rows"))
+    repeated = met.where("_rows > 1").groupBy("_own", "_key").agg(F.first("_row").alias("_row"), F.first("_times").alias("_times"))
+    single = met.where("_rows = 1").select("_row", "_times").unionByName(repeated.select("_row", "_times"))
+    return single.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).select("_row.*")

@@ -180,11 +180,11 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_without(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    text = text_of(text_col)
-    joined = docs.join(saved(spans, "spans"), docs[id_col].cast("bigint").eqNullSafe(F.col("_id"))
-                       & (F.xxhash64(text) == F.col("_tie")), "left")
-    shorter = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(text, F.col("_spans")))
-    return joined.withColumn(text_col, shorter).select(*docs.columns)
+    # Each document travels as a struct, so that its columns may have any name.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc"), text_of(text_col).alias("text"))
+    joined = rows.join(saved(spans, "spans"), F.col("doc").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")), "left")
+    shorter = F.when(F.col("_spans").isNull(), F.col("row").getField(text_col)).otherwise(cut(F.col("text"), F.col("_spans")))
+    return joined.select(*[shorter.alias(name) if name == text_col else F.col("row").getField(name).alias(name) for name in docs.columns])
 
 
 def _without(text: str, spans) -> str:
