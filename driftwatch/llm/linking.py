@@ -39,10 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
             hooked.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(
                 low.select(F.col("m").alias("a"), "b"))), "small-star")
         # A star forest: no node is both a root and hooked, and every node is hooked once.
-        roots = small.select(F.col("a").alias("b")).distinct()
-        shaken = small.join(roots, "b", "left_semi").limit(1).count()
-        doubled = small.groupBy("b").count().where("count > 1").limit(1).count()
-        if not shaken and not doubled:
+        ends = small.select(F.col("b").alias("id"), F.lit(1).alias("hooked")).unionByName(
+            small.select(F.col("a").alias("id"), F.lit(0).alias("hooked")))
+        hooks = ends.groupBy("id").agg(F.sum("hooked").alias("times"), F.min("hooked").alias("least"))
+        if hooks.where("times > 1 OR times = 1 AND least = 0").isEmpty():
             return small.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(
                 small.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
         edges = small
@@ -72,9 +72,26 @@ def _places(sketch: StructType) -> Column:
     return reduce(lambda x, y: x + y, map(F.bit_count, words.values()))
 
 
-def _joined(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    found = saved(more, "links")
-    return found if links is None else links.unionByName(found)
+def _at_roots(pairs: DataFrame, roots: DataFrame | None, a: str, b: str) -> DataFrame:
+    """The pairs with the roots of both ends, as a_root and b_root; an id without a link is its own."""
+    for side in (a, b):
+        if roots is None:
+            pairs = pairs.withColumn(f"{side}_root", F.col(side))
+        else:
+            root = roots.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root"))
+            pairs = pairs.join(root, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    return pairs
+
+
+def _merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(id, root) with further links (a, b) taken in. Only the classes that a new link touches are joined anew, as their roots."""
+    edges = _at_roots(found, roots, "a", "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    more = saved(components(edges), "merged")
+    if roots is None:
+        return more
+    moved = roots.join(more.select(F.col("id").alias("root"), F.col("root").alias("now")), "root", "left")
+    moved = moved.select("id", F.coalesce("now", "root").alias("root"))
+    return saved(moved.unionByName(more.join(roots, "id", "left_anti").select("id", "root")), "roots")
 
 
 def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None,
@@ -105,7 +122,7 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch
     labelled = saved(owned.select("id", "degree", "all", *extra, F.posexplode("all").alias("at", "bucket")).select(
         "bucket", "id", "degree", F.col("id").alias("root"), F.lit(False).alias("served"),
         F.slice("all", F.lit(1), F.col("at")).alias("before"), *extra), "labelled")
-    links = None
+    roots = None
     for turn in count():
         sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.max("degree").alias("degree"))
         tops = sizes.groupBy("bucket").agg(
@@ -131,20 +148,16 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch
         if sketches is not None and pairs.count() >= MANY_PAIRS:
             nearest = saved(pairs.groupBy("id").agg(F.min(F.struct("places", "pivot")).alias("best"))
                             .select("id", F.col("best.pivot").alias("pivot")), "nearest")
-            links = _joined(links, verify(_ordered(nearest.toDF("a", "b"))))
-            roots = saved(components(links), "roots")
-            sides = pairs
-            for side in ("id", "pivot"):
-                root = roots.select(F.col("id").alias(side), F.col("root").alias(f"{side}_now"))
-                sides = sides.join(root, side, "left").withColumn(f"{side}_now", F.coalesce(f"{side}_now", side))
-            pairs = sides.where(F.col("id_now") != F.col("pivot_now")).join(nearest, ["id", "pivot"], "left_anti")
-        links = _joined(links, verify(saved(_ordered(pairs.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "open")))
-        roots = saved(components(links), "roots")
+            roots = _merged(roots, verify(_ordered(nearest.toDF("a", "b"))))
+            pairs = (_at_roots(pairs, roots, "id", "pivot").where(F.col("id_root") != F.col("pivot_root"))
+                     .join(nearest, ["id", "pivot"], "left_anti"))
+        pairs = saved(_ordered(pairs.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "open")
+        roots = _merged(roots, saved(verify(pairs), "links"))
         served = pivots.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("now"))
         labelled = saved(
             live.drop("root", "top").join(roots, "id", "left").join(served, ["bucket", "id"], "left")
             .select("bucket", "id", "degree", F.coalesce("root", "id").alias("root"),
                     (F.col("served") | F.coalesce("now", F.lit(False))).alias("served"), "before", *extra), "labelled")
-    if links is None:
+    if roots is None:
         return spark.createDataFrame([], members.select("id", F.col("id").alias("root")).schema)
     return roots
