@@ -1,7 +1,8 @@
 """Sensor readings from JSON lines, value files and the events table.
 
-Every reader returns the same columns: `sensor_id`, `motor_id`, `channel`, `ts`, `ts_us` (epoch
-microseconds) and `reading` as double. The event table adds `event_id`.
+Readers of JSON lines and of the event table return `sensor_id`, `motor_id`, `channel`, `ts`, `ts_us` (epoch
+microseconds) and `reading` as double; the event table adds `event_id`. Value files hold no ids or times, so they
+give `reading` and `channel` alone.
 """
 
 from __future__ import annotations
