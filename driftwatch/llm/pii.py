@@ -6,11 +6,10 @@ numbers by hand ("name (at) host", "12.34.56.78" as "12[.]34[.]56[.]78", a phone
 tagger learns forms that the patterns miss. Training takes a sample bounded by `max_windows` of each sort, chosen by hash among
 distinct windows of documents that are not held out.
 
-Every whole text is tagged in windows that overlap by half. A window decodes the best path of tags; its spans that touch an inner
-edge are left to the neighbour that holds them whole. The spans of all windows of a document are then reconciled at once: those
-over a base span go, and of the rest the set without overlaps that has the largest sum of log-odds against "no span" stays.
-A span must hold a digit or an at-sign and be well-formed for its kind, so windows without either character are known to give
-none. Base spans always stay.
+Every whole text is tagged in windows that overlap by half, whatever characters they hold. A window decodes the best path of tags;
+its spans that touch an inner edge are left to the neighbour that holds them whole. The spans of all windows of a document are then
+reconciled at once: those over a base span go, and of the rest the set without overlaps that has the largest sum of log-odds against
+"no span" stays. A span must be well-formed for its kind. Base spans always stay.
 
 Defined cases: a null text is empty. An empty text has no spans. With fewer than `min_windows` distinct windows that hold
 spans there is no tagger, and the base spans are the result. Spans of the tagger are shorter than half a window. A null id is
@@ -122,9 +121,7 @@ _HAND_PHONE = re.compile(r"(?:00|\(?\+)? ?\(?[0-9]+(?:[ ()./-]{0,2}[0-9]+)+")
 
 
 def plausible(kind: int, text: str) -> bool:
-    """Whether a span of the tagger is well-formed for its kind and holds a digit or an at-sign."""
-    if not _ANCHOR.search(text):
-        return False
+    """Whether a span of the tagger is well-formed for its kind."""
     if kind == EMAIL:
         return _HAND_EMAIL.fullmatch(text) is not None
     if kind == IP:
@@ -231,8 +228,36 @@ class Tagger:
             out[length - 1 - t, :, HIDDEN:] = h[1]
         return out
 
+    def _hidden(self, x: np.ndarray) -> np.ndarray:
+        """`states` without what training keeps, as (length, both directions, windows), so that each step works on long rows."""
+        p, (count, length) = self.p, x.shape
+        # A gate is half of one more than the tangent of half its input; states are kept at twice their size up to the end.
+        half = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1.0).astype(p["round"].dtype)
+        weight = np.concatenate([p["round"] * 0.5, p["inward"], p["bias"]], axis=1) * half
+        weight = np.ascontiguousarray(weight.transpose(0, 2, 1))
+        seen = np.ascontiguousarray(p["embedding"].T[:, x.T].transpose(1, 0, 2))
+        out = np.empty((length, 2 * HIDDEN, count), weight.dtype)
+        into = np.ones((2, HIDDEN + EMBEDDING + 1, count), weight.dtype)
+        h, c, z = into[:, :HIDDEN], np.zeros((2, HIDDEN, count), weight.dtype), np.empty((2, 4 * HIDDEN, count), weight.dtype)
+        h[:] = 0
+        for t in range(length):
+            into[0, HIDDEN:-1], into[1, HIDDEN:-1] = seen[t], seen[length - 1 - t]
+            np.tanh(np.matmul(weight, into, out=z), out=z)
+            z[:, :3 * HIDDEN] += 1
+            i, f, o, g = (z[:, k * HIDDEN:(k + 1) * HIDDEN] for k in range(4))
+            c *= f
+            i *= g
+            c += i
+            c *= 0.5
+            np.multiply(np.tanh(c, out=f), o, out=h)
+            out[t, :HIDDEN] = h[0]
+            out[length - 1 - t, HIDDEN:] = h[1]
+        out *= 0.5
+        return out
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        return self.states(x) @ self.p["outward"] + self.p["level"]
+        """By (length, windows, tags)."""
+        return (np.matmul(self.p["outward"].T, self._hidden(x)) + self.p["level"][:, None]).transpose(0, 2, 1)
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags y (windows, length), and its gradients."""
@@ -288,9 +313,27 @@ class Tagger:
         grads["embedding"] = (table @ p["inward"].transpose(0, 2, 1)).sum(axis=0)
         return float((total - score).mean()), grads
 
+    def _spanned(self, level: np.ndarray) -> np.ndarray:
+        """Windows whose best path is not `outside` throughout: the best scores are found for all, the paths only for these."""
+        follow = np.where(ALLOWED, self.p["follow"], NEVER).astype(level.dtype)[:, :, None]
+        by_tag = level.transpose(0, 2, 1)
+        best = by_tag[0] + self.p["first"][:, None]
+        outside, paths = best[0], np.empty((TAGS, *best.shape), level.dtype)
+        for line in by_tag[1:]:
+            best = np.add(best[:, None], follow, out=paths).max(axis=0)
+            best += line
+            outside = outside + follow[0, 0] + line[0]
+        return np.flatnonzero(best.max(axis=0) > outside)
+
     def decoded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags (windows, length), and the emissions (length, windows, tags)."""
         level = self.emissions(x)
+        out, rows = np.zeros(x.shape, np.int64), self._spanned(level)
+        if len(rows):
+            out[rows] = self._best_paths(level[:, rows])
+        return out, level
+
+    def _best_paths(self, level: np.ndarray) -> np.ndarray:
         length, count = level.shape[:2]
         follow = np.where(ALLOWED, self.p["follow"], NEVER).astype(level.dtype)
         best, came = level[0] + self.p["first"], np.empty((length, count, TAGS), np.int8)
@@ -302,7 +345,7 @@ class Tagger:
         out[-1] = best.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             out[t - 1] = came[t, np.arange(count), out[t]]
-        return out.T, level
+        return out.T
 
     def log_odds(self, path: np.ndarray, level: np.ndarray, start: int, end: int) -> float:
         """How much better the path scores from start to end than `outside` there. level: (length, tags)."""
@@ -353,10 +396,30 @@ def _path_spans(path: np.ndarray) -> list[Span]:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows of a text that hold a digit or an at-sign; they overlap by half."""
+    """Starts of the windows of a text; they overlap by half and cover it."""
     last = max(-(-(len(text) - WINDOW) // STRIDE), 0)
-    found = {k for m in _ANCHOR.finditer(text) for k in (m.start() // STRIDE - 1, m.start() // STRIDE)}
-    return [k * STRIDE for k in sorted({min(max(k, 0), last) for k in found})]
+    return list(range(0, last * STRIDE + 1, STRIDE)) if text else []
+
+
+def _coded(texts: list[str]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
+    """Codes of all windows, some hundred at a time, with the text and start of each."""
+    places: list[tuple[int, int]] = []
+    x = np.zeros((DECODED, WINDOW), np.int64)
+    for k, text in enumerate(texts):
+        starts, done = windows(text), 0
+        while done < len(starts):
+            some = np.array(starts[done:done + DECODED - len(places)])
+            padded = np.full(some[-1] - some[0] + WINDOW, PAD, np.int64)
+            piece = codes(text[some[0]:some[-1] + WINDOW])
+            padded[:len(piece)] = piece
+            x[len(places):len(places) + len(some)] = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[some - some[0]]
+            places += [(k, at) for at in some.tolist()]
+            done += len(some)
+            if len(places) == DECODED:
+                yield places, x
+                places = []
+    if places:
+        yield places, x[:len(places)]
 
 
 class _Near:
@@ -397,14 +460,8 @@ def tagged(texts: list[str], model: Tagger | None) -> list[tuple[list[Span], lis
     base = [base_spans(t) for t in texts]
     if model is None:
         return [(b, b) for b in base]
-    places = [(k, at) for k, text in enumerate(texts) for at in windows(text)]
     found: dict[int, list[tuple[Span, float]]] = {}
-    for first in range(0, len(places), DECODED):
-        part = places[first:first + DECODED]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for row, (k, at) in enumerate(part):
-            piece = codes(texts[k][at:at + WINDOW])
-            x[row, :len(piece)] = piece
+    for part, x in _coded(texts):
         paths, level = model.decoded(x)
         for row in np.flatnonzero(paths.any(axis=1)).tolist():
             k, at = part[row]
