@@ -316,14 +316,16 @@ def stream_motor_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SLICES = 5
+SLICE_FILE_ROWS = 1_000_000
 
 
 def _replayed_in_slices(spark: SparkSession, sf_dir: str, name: str, after_us: int,
                         form: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """Run a stream over the readings in slices of time, a micro-batch or more for each, and read back what it wrote.
+    """Run a stream over the readings in slices of time, about a micro-batch for each, and read back what it wrote.
 
     The slices are written one after the other, so the stream finds them in this order; the files of a slice may come in any, so
-    the watermark stays a slice behind. A closing event moves it past everything else; its own rows are left out. form: makes
+    the watermark stays a slice behind. A slice is as many files as the cluster has cores, and more where files would be long; a
+    micro-batch takes that many, so their number follows the rows, not the files of the table. A closing event moves it past everything else; its own rows are left out. form: makes
     the stream from readings and lateness.
     """
     folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -334,16 +336,18 @@ def _replayed_in_slices(spark: SparkSession, sf_dir: str, name: str, after_us: i
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = present.agg(F.min(micros), F.max(micros)).first()
     width = 1 if first is None else (last - first) // SLICES + 1
+    files = spark.sparkContext.defaultParallelism
     present.limit(0).write.parquet(f"{folder}/events")
     for k in range(0 if first is None else SLICES):
         edge = first + k * width
-        present.where((micros >= edge) & (micros < edge + width)).write.mode("append").parquet(f"{folder}/events")
+        part = present.where((micros >= edge) & (micros < edge + width)).repartition(files)
+        part.write.option("maxRecordsPerFile", SLICE_FILE_ROWS).mode("append").parquet(f"{folder}/events")
     closing = session.range(1).select(
         F.lit(CLOSING_ID).alias("event_id"), F.timestamp_micros(F.lit((last or 0) + width + after_us)).cast("timestamp_ntz").alias("ts"),
         F.lit(CLOSING_ID).alias("user_id"), F.lit("closing").alias("event_type"), F.lit(0.0).alias("value"),
         F.lit(None).cast("string").alias("props"))
     closing.write.mode("append").parquet(f"{folder}/events")
-    source = session.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    source = session.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", files).parquet(f"{folder}/events")
     stream = form(readings_from_events(source), width)
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
     query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

@@ -1,12 +1,13 @@
 """Keyed state for streams that need a key's rows in time order: waiting rows, and sums over a trailing range.
 
-State is read and written in parts of many rows. A batch touches the parts that the watermark has passed and those
-at the edges of the range, not what lies between.
+Keys share state in buckets, as calls to the state store and frames cost more than the rows of a key that has few: a bucket's
+keys are read, worked on, written and handed on together. What a key keeps stays in the bucket while it is small. A key that keeps
+more has it in parts of many rows; a batch touches the parts that the watermark has passed and those at the edges of the range, not
+what lies between.
 """
 
 from __future__ import annotations
 
-import json
 import pickle
 from collections.abc import Iterator, MutableMapping
 
@@ -15,10 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle
 
 PART_ROWS = 4096
 WAITING_ROWS = 1024
+BUCKETS = 256  # of a stream, for life
+SMALL_BYTES = 65_536  # of a key in its bucket
+BUCKET = "_bucket_of_keys"
 
 
 Columns = dict[str, np.ndarray]
@@ -39,42 +43,65 @@ def together(parts: list[Columns]) -> Columns:
     return {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
 
 
-class StateParts(MutableMapping):
-    """Binary parts by number, in a map state or in any other mapping's place."""
+class Parts(MutableMapping):
+    """Binary parts of a key by number: in its bucket, or each for itself in a map state once they are many bytes."""
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str):
-        self.state = handle.getMapState(name, "part bigint", "data binary")
+    def __init__(self, small: dict[int, bytes], large: set[int], state: MapState, owner: str):
+        self.small, self.large, self.state, self.owner = small, large, state, owner
 
     def __getitem__(self, part: int) -> bytes:
-        return bytes(self.state.getValue((part,))[0])
+        if part in self.large:
+            return bytes(self.state.getValue((self.owner, part))[0])
+        return self.small[part]
 
     def __setitem__(self, part: int, data: bytes) -> None:
-        self.state.updateValue((part,), (data,))
+        if part in self.large:
+            self.state.updateValue((self.owner, part), (data,))
+        else:
+            self.small[part] = data
 
     def __delitem__(self, part: int) -> None:
-        self.state.removeKey((part,))
+        if part in self.large:
+            self.state.removeKey((self.owner, part))
+            self.large.remove(part)
+        else:
+            del self.small[part]
 
     def __iter__(self) -> Iterator[int]:
-        return (key[0] for key in self.state.keys())
+        return iter([*self.small, *self.large])
 
     def __len__(self) -> int:
-        return sum(1 for _ in self)
+        return len(self.small) + len(self.large)
 
+    def spread(self) -> None:
+        for part, data in self.small.items():
+            self.state.updateValue((self.owner, part), (data,))
+        self.large.update(self.small)
+        self.small.clear()
 
-class Header:
-    """A few numbers of a key, read once a batch and written if they changed."""
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str):
-        self.state = handle.getValueState(name, "numbers string")
+class KeyState:
+    """What a bucket keeps of one key: a few numbers, parts by name, and when it is to be called without new rows."""
 
-    def load(self) -> dict:
-        return json.loads(self.state.get()[0]) if self.state.exists() else {}
+    def __init__(self, key: str | None, record: dict, state: MapState):
+        self.key, self.record, self.state = key, record, state
+        self.numbers: dict = record.setdefault("numbers", {})
+        self.record["wake"] = None
 
-    def store(self, numbers: dict) -> None:
-        if numbers:
-            self.state.update((json.dumps(numbers),))
-        elif self.state.exists():
-            self.state.clear()
+    def parts(self, name: str) -> Parts:
+        small, large = self.record.setdefault(name, ({}, set()))
+        return Parts(small, large, self.state, name if self.key is None else f"{name}={self.key}")
+
+    def wake(self, time_us: int) -> None:
+        self.record["wake"] = -(-time_us // 1000)
+
+    def settle(self) -> bool:
+        """Spread parts that are many bytes; whether anything is left to keep."""
+        named = [name for name in self.record if name not in ("numbers", "wake")]
+        if sum(len(data) for name in named for data in self.record[name][0].values()) > SMALL_BYTES:
+            for name in named:
+                self.parts(name).spread()
+        return bool(self.numbers) or any(self.record[name][k] for name in named for k in (0, 1))
 
 
 class Waiting:
@@ -225,41 +252,73 @@ class TrailingSums:
 
 
 class OrderedRows(StatefulProcessor):
-    """Keeps rows until the watermark has passed them and hands them on in order of time."""
+    """Keeps rows until the watermark has passed them and hands them on in order of time, key by key of a bucket.
+
+    A form has `advance(state, new, watermark_us)`, called for each key with new rows or due to be woken; it yields columns
+    to hand on.
+    """
 
     def __init__(self, key: str, columns: list[str]):
         self.key, self.columns = key, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.header = Header(handle, "header")
-        self.parts = StateParts(handle, "waiting")
+        self.bucket = handle.getValueState("keys", "data binary")
+        self.large = handle.getMapState("parts", "owner string, part bigint", "data binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = columns_of(list(rows), self.columns)
-        yield from self._batch(key, new, timerValues.getCurrentWatermarkInMs() * 1000)
+        new = by_key(columns_of(list(rows), [self.key, *self.columns]), self.key)
+        yield from self._batch(new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._batch(key, None, timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs())
-
-    def _batch(self, key, new: Columns | None, watermark_us: int, fired: int | None = None) -> Iterator[pd.DataFrame]:
-        numbers = self.header.load()
-        if fired is not None and numbers.get("timer") == fired:
-            del numbers["timer"]
-        yield from self.advance(key, new, watermark_us, numbers)
-        self.header.store(numbers)
-
-    def passed(self, key, rows: Columns) -> pd.DataFrame:
-        return pd.DataFrame({self.key: key[0], **{name: rows[name] for name in self.columns}})
-
-    def wake(self, time_us: int, numbers: dict) -> None:
-        """Be called again when the watermark reaches a time, unless that is arranged."""
-        at = -(-time_us // 1000)
-        if numbers.get("timer") != at:
-            if "timer" in numbers:
-                self.handle.deleteTimer(numbers["timer"])
-            self.handle.registerTimer(at)
-            numbers["timer"] = at
+        yield from self._batch({}, timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def _batch(self, new: dict[str | None, Columns], watermark_ms: int, fired: int | None = None) -> Iterator[pd.DataFrame]:
+        timer, records = pickle.loads(bytes(self.bucket.get()[0])) if self.bucket.exists() else (None, {})
+        due = [key for key, record in records.items()
+               if key not in new and record["wake"] is not None and record["wake"] <= watermark_ms]
+        found: list[tuple[str | None, Columns]] = []
+        for key in [*new, *due]:
+            state = KeyState(key, records.setdefault(key, {}), self.large)
+            found += [(key, columns) for columns in self.advance(state, new.get(key), watermark_ms * 1000)]
+            if not state.settle():
+                del records[key]
+        # One timer for the bucket, at the earliest time a key is to be woken.
+        wanted = min((record["wake"] for record in records.values() if record["wake"] is not None), default=None)
+        timer = None if timer == fired else timer
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if records:
+            self.bucket.update((pickle.dumps((wanted, records), pickle.HIGHEST_PROTOCOL),))
+        elif self.bucket.exists():
+            self.bucket.clear()
+        if found:
+            rows = together([columns for _, columns in found])
+            counts = [len(next(iter(columns.values()))) for _, columns in found]
+            yield pd.DataFrame({self.key: np.repeat(np.array([key for key, _ in found], object), counts), **rows})
+
+
+def by_key(rows: Columns, key: str) -> dict[str | None, Columns]:
+    """Rows of each key in the order they came, without the key."""
+    numbers, _ = pd.factorize(rows[key])
+    order = np.argsort(numbers, kind="stable")
+    sorted_rows = taken(rows, order)
+    edges = [0, *(np.flatnonzero(np.diff(numbers[order])) + 1).tolist(), len(order)]
+    names = sorted_rows.pop(key)
+    return {None if pd.isna(names[a]) else names[a]: taken(sorted_rows, slice(a, b)) for a, b in zip(edges, edges[1:]) if a < b}
+
+
+def run_by_key(rows: DataFrame, key: str, processor: OrderedRows, outputs: list[T.StructField], event_time: str = "") -> DataFrame:
+    """Rows of `processor` for the rows of each key: the key, and `outputs`. The key may be of any type and null."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias(BUCKET)
+    given = rows.select(bucket, *as_text(rows, [key]), *[F.col(name) for name in rows.columns if name != key])
+    schema = T.StructType([T.StructField(key, T.StringType()), *outputs])
+    more = {"eventTimeColumnName": event_time} if event_time else {}
+    found = given.groupBy(BUCKET).transformWithStateInPandas(processor, schema, "append", "EventTime", **more)
+    return found.select(*from_text(rows, [key]), *[field.name for field in outputs])
 
 
 def as_text(rows: DataFrame, names: list[str]) -> list[Column]:

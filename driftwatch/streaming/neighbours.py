@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwatch.streaming.keyed import Columns, OrderedRows, Waiting, as_text, from_text, taken
+from driftwatch.streaming.keyed import Columns, KeyState, OrderedRows, Waiting, as_text, from_text, run_by_key, taken
 from driftwatch.streaming.windows import watermarked
 
 
@@ -24,8 +24,8 @@ class Changes(OrderedRows):
         super().__init__(key, columns)
         self.order, self.value = order, value
 
-    def advance(self, key, new: Columns | None, watermark_us: int, numbers: dict) -> Iterator[pd.DataFrame]:
-        waiting = Waiting(self.parts, numbers)
+    def advance(self, state: KeyState, new: Columns | None, watermark_us: int) -> Iterator[Columns]:
+        numbers, waiting = state.numbers, Waiting(state.parts("waiting"), state.numbers)
         if new is not None:
             waiting.add(new)
         rows = waiting.due(watermark_us)
@@ -36,9 +36,9 @@ class Changes(OrderedRows):
             numbers["value"] = values[-1]
             changed = np.array([a != b for a, b in zip(values, before)])
             if changed.any():
-                yield self.passed(key, taken(rows, changed))
+                yield taken(rows, changed)
         if waiting.earliest() is not None:
-            self.wake(waiting.earliest(), numbers)
+            state.wake(waiting.earliest())
 
 
 def changes(rows: DataFrame, key: str, value: str, order: list[str], lateness_us: int = 0) -> DataFrame:
@@ -51,8 +51,7 @@ def changes(rows: DataFrame, key: str, value: str, order: list[str], lateness_us
     carried = [name for name in rows.columns if name not in (key, "ts", "ts_us", *order)]
     plain = given.select(key, "ts", "ts_us", *order, *as_text(given, carried))
     columns = ["ts_us", *order, *carried]
-    schema = T.StructType([T.StructField(c, plain.schema[c].dataType) for c in (key, *columns)])
-    processor = Changes(key, columns, order, value)
-    found = plain.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    outputs = [T.StructField(c, plain.schema[c].dataType) for c in columns]
+    found = run_by_key(plain, key, Changes(key, columns, order, value), outputs)
     whole = found.select(key, F.timestamp_micros("ts_us").alias("ts"), "ts_us", *order, *from_text(given, carried))
     return whole.select(*rows.columns)

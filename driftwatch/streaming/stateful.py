@@ -2,20 +2,19 @@
 
 Rows wait in keyed state until the watermark has passed them, so a step always sees a key's rows in time
 order, whatever batch they came in. Kept per key: waiting rows, the rows the step looks back at, and the
-position of the last pick.
+position of the last pick. Keys share state in buckets (`streaming.keyed`).
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from driftwatch.functions.channels import all_present, channel_of, motor_of, position
 from driftwatch.functions.rules import ConfidenceRule, ThresholdRule
@@ -24,88 +23,54 @@ from driftwatch.operators import resets
 from driftwatch.operators.chunkscan import Columns, Step, appended, recent
 from driftwatch.operators.windows import motor_windows
 from driftwatch.schemas import CHANNELS
+from driftwatch.streaming.keyed import KeyState, OrderedRows, Waiting, run_by_key, taken
 from driftwatch.streaming.windows import watermarked
 
 
-class OrderedScan(StatefulProcessor):
+class OrderedScan(OrderedRows):
     """Runs a step over each key's rows in time order."""
 
-    def __init__(self, step: Step, fields: T.StructType, order: str, start: int, key: str, outputs: list[str],
+    def __init__(self, step: Step, columns: list[str], order: str, start: int, key: str, outputs: list[str],
                  keep: Callable[[Columns], Columns] | None, event_time: bool = False, ties: str | None = None):
+        super().__init__(key, columns)
         self.event_time, self.ties = event_time, ties
-        self.step, self.fields, self.order, self.start = step, fields, order, start
-        self.key, self.outputs, self.keep = key, outputs, keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
-        self.history = handle.getListState("history", self.fields)
-        self.last = handle.getValueState("last", "position bigint, repeat bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = self.fields.fieldNames()
-        new = [row for frame in rows for row in frame[names].itertuples(index=False, name=None)]
-        yield from self._settle(key, new, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _columns(self, rows: list[tuple], fresh: bool) -> Columns:
-        names = self.fields.fieldNames()
-        columns = {name: np.array(values) for name, values in zip(names, zip(*rows))}
-        return {**columns, "fresh": np.full(len(rows), fresh)}
-
-    def _rows(self, columns: Columns) -> list[tuple]:
-        return list(zip(*[columns[name].tolist() for name in self.fields.fieldNames()]))
-
-    def _settle(self, key, new: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
-        ts = self.fields.fieldNames().index("ts_us")
-        plain = [tuple(v.item() if hasattr(v, "item") else v for v in row) for row in new]
-        rows = [*(tuple(row) for row in self.waiting.get()), *plain]
-        ready = [row for row in rows if row[ts] <= watermark_ms * 1000]
-        later = [row for row in rows if row[ts] > watermark_ms * 1000]
-        if later:
-            self.waiting.put(later)
-            # The earliest waiting row's time, rounded up to the clock of the timers.
-            self.handle.registerTimer(-(-min(row[ts] for row in later) // 1000))
-        elif rows:
-            self.waiting.clear()
-        if not ready:
+        self.step, self.order, self.start = step, order, start
+        self.outputs, self.keep = outputs, keep
+
+    def advance(self, state: KeyState, new: Columns | None, watermark_us: int) -> Iterator[Columns]:
+        waiting = Waiting(state.parts("waiting"), state.numbers)
+        if new is not None:
+            waiting.add(new)
+        rows = waiting.due(watermark_us)
+        if waiting.earliest() is not None:
+            state.wake(waiting.earliest())
+        if rows is None:
             return
-        at = self.fields.fieldNames().index(self.order)
-        columns = self._columns(sorted(ready, key=lambda row: row[at]), True)
-        if self.ties:  # rows of one position follow each other by value, as in a table
-            order = np.lexsort([columns[self.ties], columns[self.order]])
-            columns = {name: values[order] for name, values in columns.items()}
-        before = [tuple(row) for row in self.history.get()] if self.keep else []
-        seen = appended(self._columns(before, False), columns) if before else columns
-        last, repeat = self.last.get() if self.last.exists() else (self.start, 0)
+        # Rows of one position follow each other by value where ties count, as in a table.
+        rows = taken(rows, np.lexsort([rows[self.ties], rows[self.order]]) if self.ties else np.argsort(rows[self.order], kind="stable"))
+        rows["fresh"] = np.ones(len(rows["ts_us"]), bool)
+        history = state.parts("history")
+        seen = appended(pickle.loads(history[0]) if 0 in history else None, rows)
+        last, repeat = state.numbers.get("last", (self.start, 0))
         found = self.step(seen, last, repeat=repeat) if self.ties else self.step(seen, last)
         if len(found["position"]):
-            repeat = int(found["repeat"][-1]) if self.ties else 0
-            self.last.update((int(found["position"][-1]), repeat))
-            picks = pd.DataFrame({self.key: key[0], **{name: list(found[name]) for name in self.outputs}})
+            state.numbers["last"] = int(found["position"][-1]), int(found["repeat"][-1]) if self.ties else 0
+            picks = {name: np.asarray(found[name]) for name in self.outputs}
             if self.event_time:
-                picks["ts"] = pd.to_datetime(picks["position"], unit="us")
+                picks["ts"] = picks["position"].astype("datetime64[us]").astype("datetime64[ns]")
             yield picks
         if self.keep:
-            kept = self._rows(self.keep(seen))
-            if kept:
-                self.history.put(kept)
+            history[0] = pickle.dumps(self.keep(seen), pickle.HIGHEST_PROTOCOL)
 
 
 def _scan(rows: DataFrame, key: str, columns: list[str], step: Step, order: str, start: int, picks: str,
           keep: Callable[[Columns], Columns] | None = None, event_time: bool = False, ties: str | None = None) -> DataFrame:
     """With `event_time`, picks carry `ts` (from a position in microseconds) for a stateful operator above."""
-    fields = T.StructType([rows.schema[name] for name in columns])
-    outputs = T.StructType([T.StructField(key, T.LongType()), *T.StructType.fromDDL(picks).fields])
-    names = outputs.fieldNames()[1:]
-    processor = OrderedScan(step, fields, order, start, key, names, keep, event_time, ties)
-    grouped = rows.groupBy(key)
+    outputs = list(T.StructType.fromDDL(picks).fields)
+    processor = OrderedScan(step, columns, order, start, key, [field.name for field in outputs], keep, event_time, ties)
     if not event_time:
-        return grouped.transformWithStateInPandas(processor, outputs, "append", "EventTime")
-    timed = T.StructType([*outputs.fields, T.StructField("ts", T.TimestampType())])
-    return grouped.transformWithStateInPandas(processor, timed, "append", "EventTime", eventTimeColumnName="ts")
+        return run_by_key(rows, key, processor, outputs)
+    return run_by_key(rows, key, processor, [*outputs, T.StructField("ts", T.TimestampType())], "ts")
 
 
 def _throttled(readings: DataFrame, size_us: int, interval_us: int, start_us: int, lateness_us: int,

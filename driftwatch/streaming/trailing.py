@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from driftwatch.schemas import CHANNELS
-from driftwatch.streaming.keyed import Columns, OrderedRows, StateParts, TrailingSums, Waiting, as_text, from_text, taken, together
+from driftwatch.streaming.keyed import (
+    Columns, KeyState, OrderedRows, TrailingSums, Waiting, as_text, from_text, run_by_key, taken, together)
 from driftwatch.streaming.windows import watermarked
 
 
@@ -27,16 +26,12 @@ class TrailingMeans(OrderedRows):
         super().__init__(key, columns)
         self.size_us, self.closed, self.channels = size_us, closed, channels
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.sums = StateParts(handle, "sums")
-
-    def advance(self, key, new: Columns | None, watermark_us: int, numbers: dict) -> Iterator[pd.DataFrame]:
-        waiting = Waiting(self.parts, numbers)
+    def advance(self, state: KeyState, new: Columns | None, watermark_us: int) -> Iterator[Columns]:
+        numbers, waiting = state.numbers, Waiting(state.parts("waiting"), state.numbers)
         if new is not None:
             waiting.add(new)
         rows = waiting.due(watermark_us)
-        queue = TrailingSums(self.sums, numbers, self.channels)
+        queue = TrailingSums(state.parts("sums"), numbers, self.channels)
         if rows is not None:
             times = rows["ts_us"]
             here = np.zeros((len(times), self.channels), np.int64)
@@ -45,21 +40,19 @@ class TrailingMeans(OrderedRows):
             values = np.where(here > 0, rows["reading"][:, None], 0.0)
             sums, counts = queue.push(times, values, here, self.size_us, self.closed)
             numbers["last"] = int(times[-1])
-            found = {self.key: key[0], **rows}
+            found = dict(rows)
             for k in range(self.channels):
                 found |= {f"sum_{k}": sums[:, k], f"undefined_{k}": np.isnan(sums[:, k]), f"n_{k}": counts[:, k]}
-            yield pd.DataFrame(found)
+            yield found
         next_row = waiting.earliest()
         if next_row is not None:
-            self.wake(next_row, numbers)
+            state.wake(next_row)
         elif "last" not in numbers or numbers["last"] + self.size_us < watermark_us:
             # A silent key: no reading to come can have one of these in its range.
-            if "timer" in numbers:
-                self.handle.deleteTimer(numbers["timer"])
             queue.clear()
             numbers.clear()
         else:
-            self.wake(numbers["last"] + self.size_us + 1000, numbers)
+            state.wake(numbers["last"] + self.size_us + 1000)
 
 
 NULL, NUMBER, UNDEFINED = 0, 1, 2
@@ -73,9 +66,8 @@ def _trailing(readings: DataFrame, key: str, lanes: list[str], extra: list[str],
     columns = [*lanes, *extra, "ts_us", "reading", "present"]
     parts = [T.StructField(f"{name}_{k}", kind) for k in range(len(names))
              for name, kind in (("sum", T.DoubleType()), ("undefined", T.BooleanType()), ("n", T.LongType()))]
-    carried = [T.StructField(c, rows.schema[c].dataType) for c in (key, *columns)]
-    processor = TrailingMeans(key, columns, size_us, closed, len(names))
-    found = rows.groupBy(key).transformWithStateInPandas(processor, T.StructType([*carried, *parts]), "append", "EventTime")
+    carried = [T.StructField(c, rows.schema[c].dataType) for c in columns]
+    found = run_by_key(rows, key, TrailingMeans(key, columns, size_us, closed, len(names)), [*carried, *parts])
 
     def mean(k: int) -> Column:
         total = F.when(F.col(f"undefined_{k}"), F.lit(float("nan"))).otherwise(F.col(f"sum_{k}"))
@@ -109,17 +101,18 @@ class LiveReadings(OrderedRows):
         super().__init__(key, columns)
         self.gap_us = gap_us
 
-    def advance(self, key, new: Columns | None, watermark_us: int, numbers: dict) -> Iterator[pd.DataFrame]:
+    def advance(self, state: KeyState, new: Columns | None, watermark_us: int) -> Iterator[Columns]:
+        numbers = state.numbers
         if numbers.get("cut"):
             return
-        waiting = Waiting(self.parts, numbers)
+        waiting = Waiting(state.parts("waiting"), numbers)
         fresh = [] if new is None else [new]
         if "edge" not in numbers:
             for rows in fresh:
                 waiting.add(rows)
             due = waiting.due(watermark_us)
             if due is None:
-                self._again(waiting, numbers)
+                self._again(waiting, state)
                 return
             numbers["edge"] = int(due["ts_us"][0])
             fresh = [due]
@@ -136,29 +129,27 @@ class LiveReadings(OrderedRows):
             connected = int(broken[0]) if len(broken) else len(times)
             numbers["edge"] = edge = int(reach[connected])
             if connected:
-                yield self.passed(key, taken(rows, slice(connected)))
+                yield taken(rows, slice(connected))
             if connected < len(times):
                 waiting.add(taken(rows, slice(connected, None)))
             # Rows that waited beyond may follow the edge now.
             while (start := waiting.earliest()) is not None and start <= edge + self.gap_us:
                 more = waiting.due(edge + self.gap_us)
                 numbers["edge"] = edge = max(edge, int(more["ts_us"][-1]))
-                yield self.passed(key, more)
+                yield more
         if edge + self.gap_us < watermark_us:
             for entry in numbers["waiting"]:
-                del self.parts[entry[0]]
-            if "timer" in numbers:
-                self.handle.deleteTimer(numbers["timer"])
+                del waiting.parts[entry[0]]
             numbers.clear()
             numbers["cut"] = 1
             return
-        self._again(waiting, numbers)
+        self._again(waiting, state)
 
-    def _again(self, waiting: Waiting, numbers: dict) -> None:
-        if "edge" in numbers:
-            self.wake(numbers["edge"] + self.gap_us + 1000, numbers)
+    def _again(self, waiting: Waiting, state: KeyState) -> None:
+        if "edge" in state.numbers:
+            state.wake(state.numbers["edge"] + self.gap_us + 1000)
         elif waiting.earliest() is not None:
-            self.wake(waiting.earliest(), numbers)
+            state.wake(waiting.earliest())
 
 
 def live_readings(readings: DataFrame, gap_us: int, lateness_us: int = 0) -> DataFrame:
@@ -166,8 +157,7 @@ def live_readings(readings: DataFrame, gap_us: int, lateness_us: int = 0) -> Dat
     given = watermarked(readings, lateness_us)
     carried = [name for name in given.columns if name not in ("sensor_id", "ts", "ts_us")]
     rows = given.select("sensor_id", "ts", "ts_us", *as_text(given, carried))
-    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in ("sensor_id", "ts_us", *carried)])
-    processor = LiveReadings("sensor_id", ["ts_us", *carried], gap_us)
-    found = rows.groupBy("sensor_id").transformWithStateInPandas(processor, schema, "append", "EventTime")
+    outputs = [T.StructField(c, rows.schema[c].dataType) for c in ("ts_us", *carried)]
+    found = run_by_key(rows, "sensor_id", LiveReadings("sensor_id", ["ts_us", *carried], gap_us), outputs)
     whole = found.select("sensor_id", F.timestamp_micros("ts_us").alias("ts"), "ts_us", *from_text(given, carried))
     return whole.select(*given.columns)
