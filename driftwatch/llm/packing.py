@@ -58,6 +58,9 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.literal = re.compile("|".join(map(re.escape, added))) if added else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.known: dict[str, bytes] = {}
         self.marked: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -66,10 +69,18 @@ class Tokens:
         """Ids of each text, tokenized in one call."""
         if not texts:
             return []
-        found = self.tokenizer.encode_batch([texts], is_pretokenized=True, add_special_tokens=False)[0]
-        ids, ends = np.array(found.ids, "<u4").tobytes(), [0]
-        ends += np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(texts)), "right").tolist()
-        return [ids[4 * start:4 * end] for start, end in zip(ends, ends[1:])]
+        # Without offsets and word numbers. Byte-level tokens have a character for each byte, so a text ends where its bytes do.
+        found = self.tokenizer.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        through = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        sizes = np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])
+        ends = np.searchsorted(through, sizes, "right") - 1
+        if (through[ends] != sizes).any() or ends[-1] != len(ids):  # a vocabulary that does not keep the bytes
+            found = self.tokenizer.encode_batch([texts], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(texts)), "right")
+        line, edges = ids.tobytes(), [0, *ends.tolist()]
+        return [line[4 * start:4 * end] for start, end in zip(edges, edges[1:])]
 
     def _learn(self, stretches: list[str]) -> dict[str, bytes]:
         """Ids of stretches that are not known, among them those too long to keep."""
