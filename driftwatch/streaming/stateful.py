@@ -89,7 +89,8 @@ def throttled_averages(readings: DataFrame, size_us: int, interval_us: int, star
 
 
 def _latest_reset(averages: DataFrame, start_us: int, rule: ConfidenceRule) -> DataFrame:
-    rows = averages.select(
+    channel = F.coalesce("channel", F.lit(-1).cast("bigint"))  # of no motor; with nulls whole numbers would lose digits in pandas
+    rows = averages.withColumn("channel", channel).select(
         "motor_id", "channel", "ts", "ts_us", "average", "n",
         position(F.col("ts_us"), F.col("channel")).alias("position"),
     )
@@ -122,7 +123,8 @@ def alerts_from_readings(readings: DataFrame, size_us: int, interval_us: int, st
 def alerts_trailing_reset(readings: DataFrame, size_us: int, start_us: int, age_unit_us: int = SECOND_US,
                           lateness_us: int = 0, rule: ThresholdRule = ThresholdRule()) -> DataFrame:
     """Alerts on trailing ranges; the state of a motor is the readings of one range."""
-    rows = watermarked(readings, lateness_us).select(
+    channel = F.coalesce("channel", F.lit(-1).cast("bigint"))  # of no motor; with nulls whole numbers would lose digits in pandas
+    rows = watermarked(readings, lateness_us).withColumn("channel", channel).select(
         "motor_id", "channel", "ts", "ts_us", "reading",
         position(F.col("ts_us"), F.col("channel")).alias("position"),
     )

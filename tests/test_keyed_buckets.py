@@ -109,3 +109,17 @@ def test_slices_are_one_batch_each_however_many_files(spark, sf_dir, tmp_path, m
     rows = queries.stream_throttled_avg(spark, str(tmp_path))
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, queries.throttled_avg(spark, sf_dir).collect()))
     assert len([p for p in started[0].recentProgress if p["numInputRows"]]) <= queries.SLICES + 1
+
+
+def test_null_motors_share_a_bucket_without_harm(spark, sf_dir, tmp_path, monkeypatch):
+    """Positions are whole numbers beyond those of doubles; a null key beside them must not cost digits, nor take others' rows."""
+    monkeypatch.setattr(keyed, "BUCKETS", 1)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for folder, user in (("plain", "user_id"), ("nulls", "IF(event_id % 50 = 7, NULL, user_id)")):
+        kept = events if folder == "nulls" else events.where("event_id % 50 != 7")
+        kept.selectExpr("event_id", "ts", f"{user} AS user_id", "event_type", "value", "props").write.parquet(
+            str(tmp_path / folder / "events.parquet"))
+    found = lambda name, folder: sorted(map(tuple, getattr(queries, name)(spark, str(tmp_path / folder)).collect()), key=repr)
+    assert found("stream_alerts_trailing_reset", "nulls") == found("alerts_trailing_reset", "plain") != []
+    means = [row for row in found("stream_sensor_trailing_avg", "nulls") if row[1] is not None]
+    assert means == found("sensor_trailing_avg", "plain")
