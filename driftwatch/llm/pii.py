@@ -6,13 +6,14 @@ numbers by hand ("name (at) host", "12.34.56.78" as "12[.]34[.]56[.]78", a phone
 tagger learns forms that the patterns miss. Training takes a sample bounded by `max_windows` of each sort, chosen by hash among
 distinct windows of documents that are not held out.
 
-Every whole text is tagged in windows that overlap by half, whatever characters they hold. A window decodes the best path of tags;
+Every whole text is tagged in windows that overlap by OVERLAP characters, whatever they hold; they are longer than those of
+the training, so that few characters are read twice. A window decodes the best path of tags;
 its spans that touch an inner edge are left to the neighbour that holds them whole. The spans of all windows of a document are then
 reconciled at once: those over a base span go, and of the rest the set without overlaps that has the largest sum of log-odds against
 "no span" stays. A span must be well-formed for its kind. Base spans always stay.
 
 Defined cases: a null text is empty. An empty text has no spans. With fewer than `min_windows` distinct windows that hold
-spans there is no tagger, and the base spans are the result. Spans of the tagger are shorter than half a window. A null id is
+spans there is no tagger, and the base spans are the result. Spans of the tagger are shorter than OVERLAP. A null id is
 tagged as any other and never held out; repeated rows are returned each. An empty table gives no rows. Other columns
 are not read.
 """
@@ -32,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwatch.llm.tables import text_of
+from driftwatch.llm.tables import saved, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 TAGS = 1 + 2 * len(KINDS)  # outside, and begin and inside of each kind
-WINDOW = 96
-STRIDE = 48
+LESSON = 96
+WINDOW, OVERLAP = 384, 48
+STRIDE = WINDOW - OVERLAP
 MAX_WINDOWS = 1200
 MIN_WINDOWS = 30
 EMBEDDING = 12
@@ -231,28 +233,34 @@ class Tagger:
     def _hidden(self, x: np.ndarray) -> np.ndarray:
         """`states` without what training keeps, as (length, both directions, windows), so that each step works on long rows."""
         p, (count, length) = self.p, x.shape
-        # A gate is half of one more than the tangent of half its input; states are kept at twice their size up to the end.
-        half = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1.0).astype(p["round"].dtype)
-        weight = np.concatenate([p["round"] * 0.5, p["inward"], p["bias"]], axis=1) * half
+        # With signs turned and the input of g doubled, all four gates come from one over one more than the exponential; tanh is twice that less one.
+        scale = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, -1.0, -2.0).astype(p["round"].dtype)
+        weight = np.concatenate([p["round"], p["inward"], p["bias"]], axis=1) * scale
         weight = np.ascontiguousarray(weight.transpose(0, 2, 1))
         seen = np.ascontiguousarray(p["embedding"].T[:, x.T].transpose(1, 0, 2))
         out = np.empty((length, 2 * HIDDEN, count), weight.dtype)
         into = np.ones((2, HIDDEN + EMBEDDING + 1, count), weight.dtype)
         h, c, z = into[:, :HIDDEN], np.zeros((2, HIDDEN, count), weight.dtype), np.empty((2, 4 * HIDDEN, count), weight.dtype)
         h[:] = 0
-        for t in range(length):
-            into[0, HIDDEN:-1], into[1, HIDDEN:-1] = seen[t], seen[length - 1 - t]
-            np.tanh(np.matmul(weight, into, out=z), out=z)
-            z[:, :3 * HIDDEN] += 1
-            i, f, o, g = (z[:, k * HIDDEN:(k + 1) * HIDDEN] for k in range(4))
-            c *= f
-            i *= g
-            c += i
-            c *= 0.5
-            np.multiply(np.tanh(c, out=f), o, out=h)
-            out[t, :HIDDEN] = h[0]
-            out[length - 1 - t, HIDDEN:] = h[1]
-        out *= 0.5
+        i, f, o, g = (z[:, k * HIDDEN:(k + 1) * HIDDEN] for k in range(4))
+        with np.errstate(over="ignore"):
+            for t in range(length):
+                into[0, HIDDEN:-1], into[1, HIDDEN:-1] = seen[t], seen[length - 1 - t]
+                np.exp(np.matmul(weight, into, out=z), out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                c *= f
+                g *= 2
+                g -= 1
+                g *= i
+                c += g
+                np.exp(np.multiply(c, -2, out=f), out=f)
+                f += 1
+                np.divide(2, f, out=f)
+                f -= 1
+                np.multiply(f, o, out=h)
+                out[t, :HIDDEN] = h[0]
+                out[length - 1 - t, HIDDEN:] = h[1]
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
@@ -315,12 +323,19 @@ class Tagger:
 
     def _spanned(self, level: np.ndarray) -> np.ndarray:
         """Windows whose best path is not `outside` throughout: the best scores are found for all, the paths only for these."""
-        follow = np.where(ALLOWED, self.p["follow"], NEVER).astype(level.dtype)[:, :, None]
-        by_tag = level.transpose(0, 2, 1)
+        follow = np.where(ALLOWED, self.p["follow"], NEVER).astype(level.dtype)
+        by_tag = np.ascontiguousarray(level.transpose(0, 2, 1))
+        # Outside and the begins follow any tag, the inside of a kind only two.
+        free, inner = [0, *range(1, TAGS, 2)], range(2, TAGS, 2)
+        any_tag = follow[:, free][:, :, None]
         best = by_tag[0] + self.p["first"][:, None]
-        outside, paths = best[0], np.empty((TAGS, *best.shape), level.dtype)
+        outside, paths = best[0], np.empty((TAGS, len(free), len(level[0])), level.dtype)
         for line in by_tag[1:]:
-            best = np.add(best[:, None], follow, out=paths).max(axis=0)
+            after = np.empty_like(best)
+            after[free] = np.add(best[:, None], any_tag, out=paths).max(axis=0)
+            for tag in inner:
+                np.maximum(best[tag - 1] + follow[tag - 1, tag], best[tag] + follow[tag, tag], out=after[tag])
+            best = after
             best += line
             outside = outside + follow[0, 0] + line[0]
         return np.flatnonzero(best.max(axis=0) > outside)
@@ -396,7 +411,7 @@ def _path_spans(path: np.ndarray) -> list[Span]:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows of a text; they overlap by half and cover it."""
+    """Starts of the windows of a text; they overlap and cover it."""
     last = max(-(-(len(text) - WINDOW) // STRIDE), 0)
     return list(range(0, last * STRIDE + 1, STRIDE)) if text else []
 
@@ -480,8 +495,8 @@ def held_out(doc_id) -> bool:
 
 
 def _lesson(text: str, near: _Near, at: int) -> tuple[str, str]:
-    inside = [(start - at, kind, end - at) for start, kind, end in near(at, at + WINDOW)]
-    return text[at:at + WINDOW], ",".join(f"{s}:{k}:{e}" for s, k, e in inside)
+    inside = [(start - at, kind, end - at) for start, kind, end in near(at, at + LESSON)]
+    return text[at:at + LESSON], ",".join(f"{s}:{k}:{e}" for s, k, e in inside)
 
 
 def lessons(text: str) -> Iterator[tuple[int, str, str]]:
@@ -490,18 +505,18 @@ def lessons(text: str) -> Iterator[tuple[int, str, str]]:
     near = _Near(spans)
     random = np.random.default_rng(crc32(text.encode("utf-8", "surrogatepass")))
     for start, _, end in spans:
-        ahead = int(random.integers(4, max(WINDOW - (end - start) - 4, 5)))
+        ahead = int(random.integers(4, max(LESSON - (end - start) - 4, 5)))
         yield 0, *_lesson(text, near, max(start - ahead, 0))
-    if not spans or len(text) > 4 * WINDOW:
-        yield 2, *_lesson(text, near, int(random.integers(max(len(text) - WINDOW, 1))))
-    covered = iter(spans + [(len(text) + WINDOW, 0, len(text) + WINDOW)])
+    if not spans or len(text) > 4 * LESSON:
+        yield 2, *_lesson(text, near, int(random.integers(max(len(text) - LESSON, 1))))
+    covered = iter(spans + [(len(text) + LESSON, 0, len(text) + LESSON)])
     span, behind = next(covered), 0
     for match in _ANCHOR.finditer(text):
         while match.start() >= span[2]:
             span = next(covered)
         if match.start() < span[0] and match.start() >= behind:
-            behind = match.start() + WINDOW
-            yield 1, *_lesson(text, near, max(match.start() - int(random.integers(4, WINDOW - 4)), 0))
+            behind = match.start() + LESSON
+            yield 1, *_lesson(text, near, max(match.start() - int(random.integers(4, LESSON - 4)), 0))
 
 
 def _spans_of(line: str) -> list[Span]:
@@ -511,7 +526,7 @@ def _spans_of(line: str) -> list[Span]:
 def lesson_arrays(rows: list[tuple[str, str]], share: float = REWRITTEN, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Codes and tags of windows; a share of those with a whole span gets one of its spans rewritten."""
     random = np.random.default_rng(seed)
-    x, y = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
+    x, y = np.zeros((len(rows), LESSON), np.int64), np.zeros((len(rows), LESSON), np.int64)
     for row, (text, line) in enumerate(rows):
         spans = _spans_of(line)
         whole = [s for s in spans if 0 <= s[0] and s[2] <= len(text)]
@@ -522,7 +537,7 @@ def lesson_arrays(rows: list[tuple[str, str]], share: float = REWRITTEN, seed: i
             text, more = text[:start] + new + text[end:], len(new) - (end - start)
             moved = lambda at: at + more if at >= end else at
             spans = [(start, kind, start + len(new)) if s == (start, kind, end) else (moved(s[0]), s[1], moved(s[2])) for s in spans]
-        text = text[:WINDOW]
+        text = text[:LESSON]
         x[row, :len(text)] = codes(text)
         y[row, :len(text)] = tags(len(text), spans)
     return x, y
@@ -542,7 +557,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_w
                                                  names=["sort", "text", "spans"])
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_of(text_col).alias("text"))
-    found = rows.mapInArrow(teach, "sort int, text string, spans string").distinct()
+    found = saved(rows.mapInArrow(teach, "sort int, text string, spans string").distinct(), "lessons")
     picked = [found.where(F.col("sort") == k).orderBy(F.xxhash64(F.lit(SEED), "text", "spans"), "text").limit(max_windows)
               for k in range(3)]
     sample = picked[0].unionAll(picked[1]).unionAll(picked[2]).collect()
