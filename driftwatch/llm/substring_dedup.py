@@ -100,7 +100,26 @@ def stretches(words: list[str], digests: dict[str, bytes]) -> tuple[np.ndarray,
     return at, hi[at], lo[at]
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first halves of the digests of all units, with the document."""
+    digests: dict[str, bytes] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_DOCS):
+            part = batch.slice(at, BATCH_DOCS)
+            found = []
+            for text in part.column(2).to_pylist():
+                if len(digests) > CACHED_WORDS:
+                    digests.clear()
+                lines = b"".join(xxhash.xxh3_128_digest(" ".join(m[0].lower().split())) for m in UNIT.finditer(text))
+                _, hi, _ = stretches(places(text)[4], digests)
+                found.append(np.concatenate((np.frombuffer(lines, ">i8")[::2].astype(np.int64), hi.view(np.int64))))
+            source = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(source), part.column(1).take(source), pa.array(np.concatenate(found), pa.int64())], names=["doc_id", "tie", "hi"])
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units of documents whose digests begin with one of a list."""
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
     digests: dict[str, bytes] = {}
     for batch in batches:
@@ -108,7 +127,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, BATCH_DOCS)
             found = [[] for _ in kinds]
             counts = []
-            for text in part.column(2).to_pylist():
+            for text, wanted in zip(part.column(2).to_pylist(), part.column(3)):
                 if len(digests) > CACHED_WORDS:
                     digests.clear()
                 starts, ends, opens, closes, words = places(text)
@@ -125,9 +144,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.concatenate((halves[:, 1], lo.view(np.int64))),
                     np.concatenate((np.searchsorted(ends, start, "right"), first)),
                     np.concatenate((np.searchsorted(starts, end, "left"), last + 1)))
+                repeated = np.isin(columns[6], wanted.values.to_numpy())
                 for column, values in zip(found, columns):
-                    column.append(values)
-                counts.append(len(columns[0]))
+                    column.append(values[repeated])
+                counts.append(int(repeated.sum()))
             source = pa.array(np.repeat(np.arange(len(counts)), counts))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(source), part.column(1).take(source),
@@ -142,10 +162,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    every = saved(rows.mapInArrow(_units, UNITS), "units")
+    # Most units occur once. Only a half digest of each is shuffled, and the others are made again with their places.
+    seen = rows.mapInArrow(_keys, "doc_id bigint, tie bigint, hi bigint").withColumn("n", F.count("*").over(Window.partitionBy("hi")))
+    wanted = saved(seen.where("n > 1").groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+                   .agg(F.collect_set("hi").alias("wanted")), "repeated")
+    some = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).drop("_id", "_tie")
+    every = saved(some.select("doc_id", "tie", "text", "wanted").mapInArrow(_units, UNITS), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie", "unit", "start", "end", "end_word")
-    first = (every.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-             .where("first != last").select("hi", "lo", "first"))
+    first = every.groupBy("hi", "lo").agg(F.min(rank).alias("first"))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
     inside = own & (F.col("first_word") < F.col("first.end_word")) & (F.col("words") == 0)
     again = (every.join(first, ["hi", "lo"]).where(rank != F.col("first"))
@@ -153,7 +177,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                      (F.col("opens") & ~inside).alias("opens"), "closes",
                      F.when(inside, F.col("first.end_word")).otherwise(F.col("first_word")).alias("first_word"), "end_word",
                      F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
-             .dropDuplicates(["doc_id", "tie", "unit"]))
+             .repartition("doc_id", "tie").dropDuplicates(["doc_id", "tie", "unit"]))
     # A stretch begins in the middle of what it repeats, so the units of a run may overlap.
     place = Window.partitionBy("doc_id", "tie").orderBy("first_word", "start", "unit")
     reached = F.max("end_word").over(place.rowsBetween(Window.unboundedPreceding, -1))
