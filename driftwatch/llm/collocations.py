@@ -11,7 +11,8 @@ add candidates. What is frequent in a shard goes to the tasks of the next level
 chance hits again only add candidates. The phrases frequent in any shard are then united and counted by their words, in all
 documents, so every number returned is exact, as are scores, which are taken in decimals.
 
-Memory: a task holds a block of text, its hashes, the counts it adds up (bounded) and the filter; the driver one filter.
+Memory: a task holds a block of text, its hashes, the counts it adds up (bounded) and the filter; the driver one filter and, while
+parts of phrases are joined, their counts if these take BROADCAST_BYTES at most.
 
 Defined cases: a null text is empty, a null language counts as `und`. Repeated rows and null ids count as any other row. Texts
 of any length are read in blocks that end between pieces. Words of one letter case in A-Z fold together, all other characters stay
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwatch.llm.tables import saved, small_side, text_of
+from driftwatch.llm.tables import saved, text_of
 
 SUPPORT = 30
 LONGEST = 4
@@ -37,6 +38,9 @@ SHARD_ROOM = 1 << 16
 SCALE = 2_000_000
 CONTAINED = 80  # percent
 SALTS = 16
+# What a broadcast row takes besides its texts, and what a broadcast may take in all; building it takes a few times as much.
+ROW_BYTES = 64
+BROADCAST_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 COUNTED_KEYS = 1 << 20
 FILTER_BITS = 1 << 27
@@ -303,11 +307,11 @@ def _supports(words: DataFrame, support: int) -> DataFrame:
 def candidates(rows: DataFrame, support: int, longest: int) -> np.ndarray:
     """The filter of all phrases that are frequent in some shard, up to `longest` words."""
     words = saved(_mined(rows, 1, None, ["salt", "shard"]), "words")
-    supports = small_side(saved(_supports(words, support), "supports"))
-    frequent = words.join(supports, ["salt", "shard"]).where("n >= local")
+    supports = saved(_supports(words, support), "supports")
+    frequent = _joined(words, supports, ["salt", "shard"]).where("n >= local")
     found = [saved(frequent.select("key", "shard"), "frequent")]
     # Local support and shard in one number: that and the key are all that later levels shuffle.
-    grouped = rows.join(supports, ["salt", "shard"]).withColumn("group", F.col("local") * SHARD_ROOM + F.col("shard"))
+    grouped = _joined(rows, supports, ["salt", "shard"]).withColumn("group", F.col("local") * SHARD_ROOM + F.col("shard"))
     for size in range(2, longest + 1):
         counted = _mined(grouped, size, _filter(found[-1]), ["group"]).where(F.col("n") >= F.floor(F.col("group") / SHARD_ROOM))
         found.append(saved(counted.select("key", (F.col("group") % SHARD_ROOM).cast("int").alias("shard")), "frequent"))
@@ -352,15 +356,35 @@ def _counted(langs: pa.Array, lang: np.ndarray, size: int, phrases: list[bytes]
         names=["lang", "words", "phrase", "n"])
 
 
-def _with_count(cuts: DataFrame, counts: DataFrame, part: str, name: str, rows: int | None) -> DataFrame:
-    """Join the counts of a part of each phrase. Few words are parts of many phrases, so such joins are salted."""
+def _small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether the rows and texts of a table prove small enough for a broadcast."""
+    texts = [F.octet_length(name) for name, kind in df.dtypes if kind == "string"]
+    sized = df.agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(ROW_BYTES).cast("bigint"))).alias("bytes")).first()
+    return (sized["bytes"] or 0) <= BROADCAST_BYTES and (rows is None or sized["n"] <= rows)
+
+
+def _merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of which no side is broadcast.
+
+    The planner goes by the size of compressed files, which says little about rows in memory, and behind an explode counts none
+    of the rows that come of it.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], rows: int | None = None) -> DataFrame:
+    """Broadcast the right side if it proves small, else merge."""
+    return left.join(F.broadcast(right), on) if _small(right, rows) else _merged(left, right, on)
+
+
+def _with_count(cuts: DataFrame, counts: DataFrame, part: str, name: str, small: bool) -> DataFrame:
+    """Join the counts of a part of each phrase. Few words are parts of many phrases, so joins that merge are salted."""
     parts = counts.select("lang", F.col("phrase").alias(part), F.col("n").alias(name))
-    side = small_side(parts, rows)
-    if side is not parts:
-        return cuts.join(side, ["lang", part])
+    if small:
+        return cuts.join(F.broadcast(parts), ["lang", part])
     parts = parts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = cuts.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
-    return dealt.join(parts, ["lang", part, "deal"]).drop("deal")
+    return _merged(dealt, parts, ["lang", part, "deal"]).drop("deal")
 
 
 def _words(first: Column | int, count: Column | int) -> Column:
@@ -373,7 +397,8 @@ def scored(counts: DataFrame, longest: int, broadcast_rows: int | None = None) -
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.withColumns({"first": _words(F.lit(1), F.col("k")), "rest": _words(F.col("k") + 1, F.col("words") - F.col("k"))})
     parts = counts.where(F.col("words").between(1, longest - 1))
-    cuts = _with_count(_with_count(cuts, parts, "first", "l", broadcast_rows), parts, "rest", "r", broadcast_rows)
+    small = _small(parts.select("lang", "phrase"), broadcast_rows)
+    cuts = _with_count(_with_count(cuts, parts, "first", "l", small), parts, "rest", "r", small)
     score = F.expr(f"(cast(a AS decimal(19,0)) * {SCALE}) div (cast(l AS decimal(19,0)) + cast(r AS decimal(19,0)))")
     best = F.min(F.struct(score.cast("bigint").alias("score"), "k", "l", "r")).alias("best")
     return cuts.groupBy("lang", "phrase", "words", "a").agg(best).select(
@@ -401,10 +426,10 @@ def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = saved(counts.where(F.col("phrase").isNull() | (F.col("n") >= support)), "phrases")
     phrases = counts.where(F.col("phrase").isNotNull())
     exact = lambda name: F.col(name).cast("decimal(19,0)")
-    kept = (scored(phrases, longest, broadcast_rows).join(_surroundings(phrases), ["lang", "phrase"], "left")
+    kept = (_merged(scored(phrases, longest, broadcast_rows), _surroundings(phrases), ["lang", "phrase"], "left")
             .where(F.col("longer").isNull() | (exact("longer") * 100 < exact("a") * CONTAINED)))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     totals = counts.where(F.col("phrase").isNull()).select("lang", "n")
-    return ranked.join(small_side(totals, broadcast_rows), "lang").select(
+    return _joined(ranked, totals, ["lang"], broadcast_rows).select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
